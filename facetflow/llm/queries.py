@@ -7,6 +7,7 @@ from . import (
     exact_dedup,
     language_id,
     license_scan,
+    line_dedup,
     minhash_dedup,
     sentencepiece_codec,
     suffix_dedup,
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
         "op7_minhash": minhash_dedup.op7_minhash,
         "op8_license_scan": license_scan.op8_license_scan,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_language_id": language_id.op10_language_id,
     }
 

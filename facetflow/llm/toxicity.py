@@ -269,6 +269,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return out.select(F.col("id").alias("doc_id"), (fold("id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def clean_batches(model: TextCNN, text_at: int):
+    def run(batches):
+        for batch in batches:
+            data, off = B.column_bytes(batch.column(text_at))
+            score = np.zeros(len(batch))
+            for i, j in B.blocks(off, 1 << 20):
+                ids, row, full = hash_words(B.LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], model.buckets)
+                score[i:j] = model.score(ids, row, full, j - i)
+            yield batch.filter(pa.array(score < 0.5))
+
+    return run
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    model = train(docs, labels, per_class)
+    return docs.mapInArrow(clean_batches(model, docs.columns.index("text")), docs.schema)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     """The query: every whole text of ``documents``, learned from ``labels``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec3 as v
@@ -47,38 +47,47 @@ def radius_ratio(a: V3, b: V3, c: V3) -> Column:
     return F.when(F.least(x, y, z) < 1e-20, F.lit(None)).when(heron <= 0, F.lit(0.0)).otherwise((s - x) * (s - y) * (s - z) * 8.0 / (x * y * z))
 
 
-def closest_point(p: V3, a: V3, b: V3, c: V3) -> V3:
-    """Closest point of a triangle by its seven Voronoi regions."""
-    ab, ac, ap = v.sub(b, a), v.sub(c, a), v.sub(p, a)
-    d1, d2 = v.dot(ab, ap), v.dot(ac, ap)
-    bp = v.sub(p, b)
-    d3, d4 = v.dot(ab, bp), v.dot(ac, bp)
-    cp = v.sub(p, c)
-    d5, d6 = v.dot(ab, cp), v.dot(ac, cp)
-    vc = d1 * d4 - d3 * d2
-    vb = d5 * d2 - d1 * d6
-    va = d3 * d6 - d5 * d4
+def _closest_weights(d1, d2, d3, d4, d5, d6) -> tuple[Column, Column]:
+    """Weights of b and c at the closest point, by the seven Voronoi regions of a triangle."""
+    vc, vb, va = d1 * d4 - d3 * d2, d5 * d2 - d1 * d6, d3 * d6 - d5 * d4
+    safe = lambda num, den: F.when(den == 0, F.lit(0.0)).otherwise(num / den)
     whole = va + vb + vc
-    on_ab = F.when(d1 - d3 == 0, F.lit(0.0)).otherwise(d1 / (d1 - d3))
-    on_ac = F.when(d2 - d6 == 0, F.lit(0.0)).otherwise(d2 / (d2 - d6))
-    on_bc = F.when((d4 - d3) + (d5 - d6) == 0, F.lit(0.0)).otherwise((d4 - d3) / ((d4 - d3) + (d5 - d6)))
-    s, t = F.when(whole == 0, F.lit(0.0)).otherwise(vb / whole), F.when(whole == 0, F.lit(0.0)).otherwise(vc / whole)
+    on_bc = safe(d4 - d3, (d4 - d3) + (d5 - d6))
+    zero, one = F.lit(0.0), F.lit(1.0)
     regions = [
-        ((d1 <= 0) & (d2 <= 0), a),
-        ((d3 >= 0) & (d4 <= d3), b),
-        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), v.add(a, v.scale(ab, on_ab))),
-        ((d6 >= 0) & (d5 <= d6), c),
-        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), v.add(a, v.scale(ac, on_ac))),
-        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), v.add(b, v.scale(v.sub(c, b), on_bc))),
+        ((d1 <= 0) & (d2 <= 0), zero, zero),
+        ((d3 >= 0) & (d4 <= d3), one, zero),
+        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), safe(d1, d1 - d3), zero),
+        ((d6 >= 0) & (d5 <= d6), zero, one),
+        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), zero, safe(d2, d2 - d6)),
+        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), one - on_bc, on_bc),
     ]
-    face = v.add(a, v.add(v.scale(ab, s), v.scale(ac, t)))
-    out = []
-    for i in range(3):
-        pick = F.when(regions[0][0], regions[0][1][i])
-        for cond, point in regions[1:]:
-            pick = pick.when(cond, point[i])
-        out.append(pick.otherwise(face[i]))
-    return tuple(out)
+    wb, wc = F.when(regions[0][0], regions[0][1]), F.when(regions[0][0], regions[0][2])
+    for cond, x, y in regions[1:]:
+        wb, wc = wb.when(cond, x), wc.when(cond, y)
+    return wb.otherwise(safe(vb, whole)), wc.otherwise(safe(vc, whole))
+
+
+def _closest_dots(p: V3, a: V3, b: V3, c: V3) -> list[Column]:
+    ab, ac = v.sub(b, a), v.sub(c, a)
+    return [v.dot(e, v.sub(p, at)) for at in (a, b, c) for e in (ab, ac)]
+
+
+def closest_point(p: V3, a: V3, b: V3, c: V3) -> V3:
+    """Closest point of a triangle, as one expression."""
+    wb, wc = _closest_weights(*_closest_dots(p, a, b, c))
+    return v.add(a, v.add(v.scale(v.sub(b, a), wb), v.scale(v.sub(c, a), wc)))
+
+
+def with_closest_point(df: DataFrame) -> DataFrame:
+    """Adds qx, qy, qz for columns px … and ax … cz; in steps, so that generated code stays small."""
+    dots = _closest_dots(v.cols("p"), v.cols("a"), v.cols("b"), v.cols("c"))
+    keep = df.columns
+    df = df.select(*keep, *(d.alias(f"__d{i}") for i, d in enumerate(dots)))
+    wb, wc = _closest_weights(*(F.col(f"__d{i}") for i in range(6)))
+    df = df.select(*keep, wb.alias("__wb"), wc.alias("__wc"))
+    q = [F.col("a" + k) + (F.col("b" + k) - F.col("a" + k)) * F.col("__wb") + (F.col("c" + k) - F.col("a" + k)) * F.col("__wc") for k in "xyz"]
+    return df.select(*keep, *(x.alias("q" + k) for x, k in zip(q, "xyz")))
 
 
 def point_distance(p: V3, a: V3, b: V3, c: V3) -> Column:

@@ -212,7 +212,7 @@ def cases() -> list[list[tuple[int, int, int]]]:
                 seen.add(at)
                 loop.append(at)
                 at = nxt[at]
-            tris += [(loop[0], loop[i], loop[i + 1]) for i in range(1, len(loop) - 1)]
+            tris += [(loop[0], loop[i + 1], loop[i]) for i in range(1, len(loop) - 1)]
         table.append(tris)
     return table
 

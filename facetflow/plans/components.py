@@ -1,11 +1,11 @@
-"""Distributed connected components by hash-ordered contraction.
+"""Distributed connected components by contraction.
 
-Each round every node hooks onto the neighbour (or itself) with the smallest
-hash, the edge list is rewritten on the hooks and loses its loops and repeats.
-Orders are drawn anew each round, so long chains shrink by a constant factor
-instead of one node at a time.  No step gathers a component in a task: hooks
-are partial aggregates and the joins are plain equi-joins that adaptive
-execution can split.
+Each round every node hooks onto the neighbour (or itself) with most edges, by
+smallest hash among equals; the edge list is rewritten on the hooks and loses
+its loops and repeats.  Stars vanish in a round, and since hashes are drawn anew
+each round, long chains shrink by a constant factor.  No step gathers a component
+in a task: hooks are partial aggregates and the joins are plain equi-joins that
+adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         both = cut(both, "cc-edges")
         if both.isEmpty():
             break
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("x"))
-        hook = both.groupBy("u").agg(F.min(order("v")).alias("m")).select(
-            F.col("u").alias("id"), F.least(F.col("m"), order("u"))["x"].alias("up")
+        degree = both.groupBy("u").agg(F.count("*").alias("d"))
+        order = lambda c, d: F.struct((-F.col(d)).alias("d"), F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("x"))
+        ranked = both.join(degree.withColumnRenamed("u", "v"), "v")
+        hook = ranked.groupBy("u").agg(F.min(order("v", "d")).alias("m"), F.count("*").alias("own")).select(
+            F.col("u").alias("id"), F.least(F.col("m"), order("u", "own"))["x"].alias("up")
         )
         hook = cut(hook, "cc-hooks")
         hooks.append(hook)
@@ -52,6 +54,5 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     if top is None:
         return nodes.select("id", F.col("id").alias("component"))
     rooted = nodes.join(top, "id", "left").select("id", F.coalesce("up", "id").alias("root"))
-    rooted = cut(rooted, "cc-roots")
     least = rooted.groupBy("root").agg(F.min("id").alias("component"))
     return rooted.join(least, "root").select("id", "component")

@@ -36,7 +36,10 @@ def per_mesh(mesh: Mesh, kernel: Callable[[pd.DataFrame, list[list[int]], list[i
         out.insert(0, "mesh_id", key[0])
         return out
 
-    return vs.groupBy("mesh_id").cogroup(mesh.faces.select("mesh_id", "fid", "vs").groupBy("mesh_id")).applyInPandas(run, schema)
+    # fresh names: both sides may stem from one plan
+    left = vs.select(*(F.col(c).alias(c) for c in vs.columns))
+    right = mesh.faces.select(*(F.col(c).alias(c) for c in ("mesh_id", "fid", "vs")))
+    return left.groupBy("mesh_id").cogroup(right.groupBy("mesh_id")).applyInPandas(run, schema)
 
 
 def edit(mesh: Mesh, kernel: Callable[[np.ndarray, list[list[int]]], tuple[np.ndarray, list[list[int]]]]) -> Mesh:

@@ -319,9 +319,9 @@ def laplacian_smoothing(spark, sf):
     return rounded(smooth.laplacian_smooth(terrain(spark, sf), 0.5, 3).vertices, 5)
 
 
-@query(f", s1 AS ({STEP.format(l=0.5, t='v')}), s2 AS ({STEP.format(l=-0.53, t='s1')}) SELECT {POS} FROM s2")
+@query(f", s1 AS ({STEP.format(l=0.5, t='v')}), s2 AS ({STEP.format(l=-0.5301, t='s1')}) SELECT {POS} FROM s2")
 def taubin_smoothing(spark, sf):
-    return rounded(smooth.taubin_smooth(terrain(spark, sf), 0.5, -0.53, 1).vertices, 5)
+    return rounded(smooth.taubin_smooth(terrain(spark, sf), 0.5, -0.5301, 1).vertices, 5)
 
 
 @query(f", s1 AS ({STEP.format(l=1.0, t='v')}) SELECT {POS} FROM s1")
@@ -348,7 +348,7 @@ ok AS (SELECT *, 1000.0 - (az + bu * uz + bv * wz) AS t FROM hit WHERE bu >= 0 A
 
 @query(RAYS + f" SELECT ray_id, min(fid) AS fid, {rr('min(t)', 't')} FROM ok GROUP BY ray_id")
 def ray_first_hit(spark, sf):
-    return rounded(spatial.ray_first_hit(terrain(spark, sf), event_rays(spark, sf), 1.0).select("ray_id", "fid", "t"))
+    return rounded(spatial.ray_first_hit(terrain(spark, sf), event_rays(spark, sf), 1.0).select("ray_id", "fid", "t"), 4)
 
 
 @query(RAYS + " SELECT ray_id, count(*) AS n_hits, count(*) % 2 = 1 AS inside FROM ok GROUP BY ray_id")
@@ -464,8 +464,8 @@ EDGE4 = """, es AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(
 em AS (SELECT a, b, k, (row_number() OVER (ORDER BY a, b)) - 1 + (SELECT count(*) FROM v) AS vid, CASE WHEN k = 2 THEN (p.x + q2.x) * 0.375 + ox * 0.125 ELSE (p.x + q2.x) / 2 END AS x,
  CASE WHEN k = 2 THEN (p.y + q2.y) * 0.375 + oy * 0.125 ELSE (p.y + q2.y) / 2 END AS y, CASE WHEN k = 2 THEN (p.z + q2.z) * 0.375 + oz * 0.125 ELSE (p.z + q2.z) / 2 END AS z FROM es JOIN v p ON p.vid = a JOIN v q2 ON q2.vid = b)"""
 NB = ", nb AS (SELECT vid, count(*) AS n, count(CASE WHEN k = 1 THEN 1 END) AS nr, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(CASE WHEN k = 1 THEN x END) AS rx, sum(CASE WHEN k = 1 THEN y END) AS ry, sum(CASE WHEN k = 1 THEN z END) AS rz FROM (SELECT a AS vid, k, w.x, w.y, w.z FROM es JOIN v w ON w.vid = b UNION ALL SELECT b, k, w.x, w.y, w.z FROM es JOIN v w ON w.vid = a) GROUP BY vid)"
-BETA = f"((0.625 - (0.375 + 0.25 * cos({2 * math.pi!r} / n)) ** 2) / n)"
-EVEN = ", ".join(f"CASE WHEN nr = 2 THEN v.{c} * 0.75 + r{c} * 0.125 WHEN nr > 0 THEN v.{c} ELSE v.{c} * (1 - nb.n * {BETA.replace('n)', 'nb.n)').replace('/ n', '/ nb.n')}) + s{c} * {BETA.replace('n)', 'nb.n)').replace('/ n', '/ nb.n')} END AS {c}" for c in "xyz")
+BETA = f"((0.625 - (0.375 + 0.25 * cos({2 * math.pi!r} / nb.n)) ** 2) / nb.n)"
+EVEN = ", ".join(f"CASE WHEN nr = 2 THEN v.{c} * 0.75 + r{c} * 0.125 WHEN nr > 0 THEN v.{c} ELSE v.{c} * (1 - nb.n * {BETA}) + s{c} * {BETA} END AS {c}" for c in "xyz")
 
 
 @query(EDGE4 + NB + f", lv AS (SELECT v.vid, {EVEN} FROM v JOIN nb ON nb.vid = v.vid UNION ALL SELECT vid, x, y, z FROM em) SELECT {POS} FROM lv")
@@ -758,6 +758,109 @@ def obj_files(spark, sf):
     return formats.format_meshes(_small(spark, sf), "obj").select("mesh_id", F.octet_length("content").alias("n_bytes"))
 
 
+@query(f"""SELECT vid, CASE WHEN den < 1e-14 THEN 0.0 ELSE round((nr * dr + ni * di) / den, 6) + 0.0 END AS u, CASE WHEN den < 1e-14 THEN 0.0 ELSE round((ni * dr - nr * di) / den, 6) + 0.0 END AS w
+FROM (SELECT vid, nr, ni, dr, di, dr * dr + di * di AS den FROM (SELECT vid, x / 1000 - 0.3 AS nr, y / 1000 + 0.2 AS ni, -0.3 * x / 1000 + 0.2 * y / 1000 + 1 AS dr, -0.3 * y / 1000 - 0.2 * x / 1000 AS di FROM v))""")
+def mobius_transform(spark, sf):
+    """The disc automorphism that moves 0.3 - 0.2 i to the origin, on scaled lattice places."""
+    u, w = fields.mobius(F.col("x") / 1000, F.col("y") / 1000, *fields.mobius_to_center((0.3, -0.2)))
+    return terrain(spark, sf).vertices.select("vid", r(u, 6).alias("u"), r(w, 6).alias("w"))
+
+
+@query(f"""SELECT fid, {rr('al * (px * qy - qx * py) + pl * (qx * ky - kx * qy) + ql * (kx * py - px * ky)', 'det', 5)} FROM (SELECT fid, kx, ky, px, py, qx, qy, kx * kx + ky * ky AS al, px * px + py * py AS pl, qx * qx + qy * qy AS ql
+ FROM (SELECT fid, ax - dx AS kx, ay - dy AS ky, bx - dx AS px, by_ - dy AS py, cx - dx AS qx, cy - dy AS qy FROM (SELECT *, ax + 0.25 + az / 8 AS dx, ay + 0.5 AS dy FROM t)))""")
+def incircle_test(spark, sf):
+    """A place near the first corner against the circle through each triangle's corners, seen from above."""
+    t = terrain(spark, sf).triangles
+    p = [(F.col(k + "x"), F.col(k + "y")) for k in "abc"]
+    d = (F.col("ax") + 0.25 + F.col("az") / 8, F.col("ay") + 0.5)
+    return t.select("fid", r(pr.incircle(*p, d), 5).alias("det"))
+
+
+@query("""SELECT fid, (s1 >= 0 AND s2 >= 0 AND s3 >= 0) AS inside FROM (SELECT fid, (bx - ax) * (py - ay) - (by_ - ay) * (px - ax) AS s1, (cx - bx) * (py - by_) - (cy - by_) * (px - bx) AS s2, (ax - cx) * (py - cy) - (ay - cy) * (px - cx) AS s3
+ FROM (SELECT *, ax + az / 8 AS px, ay + 0.3125 AS py FROM t))""")
+def point_in_triangle(spark, sf):
+    t = terrain(spark, sf).triangles
+    p = (F.col("ax") + F.col("az") / 8, F.col("ay") + 0.3125)
+    return t.select("fid", pr.point_in_triangle_2d(p, *[(F.col(k + "x"), F.col(k + "y")) for k in "abc"]).alias("inside"))
+
+
+@query(TILE + f""", tv AS (SELECT tile, x, y, z FROM tl JOIN (SELECT fid, unnest([v0, v1, v2]) AS vid FROM f) c ON c.fid = tl.fid JOIN v ON v.vid = c.vid)
+SELECT tile, {', '.join(rr(f'{g}({c})', f'{g}_{c}') for g in ('min', 'max') for c in 'xyz')} FROM tv GROUP BY tile""")
+def tile_boxes(spark, sf):
+    b = measure.aabb(tiles(spark, sf))
+    return b.select(F.col("mesh_id").alias("tile"), *(r(f"{g}_{c}").alias(f"{g}_{c}") for g in ("min", "max") for c in "xyz"))
+
+
+@query(f"SELECT {', '.join(rr(f'{g}({c})', f'{g}_{c}') for g in ('min', 'max') for c in 'xyz')} FROM v")
+def union_of_boxes(spark, sf):
+    return rounded(measure.aabb_union(measure.aabb(tiles(spark, sf))))
+
+
+FRAMES = """, sh AS (SELECT *, sqrt((cx - bx) ** 2 + (cy - by_) ** 2 + (cz - bz) ** 2) AS la, sqrt(wx * wx + wy * wy + wz * wz) AS lb, sqrt(ux * ux + uy * uy + uz * uz) AS lc FROM ta),
+fr AS (SELECT fid, least(la, lb, lc) AS l, CASE WHEN lc = least(la, lb, lc) THEN ux WHEN la = least(la, lb, lc) THEN cx - bx ELSE -wx END AS sx, CASE WHEN lc = least(la, lb, lc) THEN uy WHEN la = least(la, lb, lc) THEN cy - by_ ELSE -wy END AS sy, CASE WHEN lc = least(la, lb, lc) THEN uz WHEN la = least(la, lb, lc) THEN cz - bz ELSE -wz END AS sz FROM sh)"""
+
+
+@query(FRAMES + f" SELECT fid, {rr('sx / l', 'ex', 5)}, {rr('sy / l', 'ey', 5)}, {rr('sz / l', 'ez', 5)} FROM fr")
+def face_frames(spark, sf):
+    f = fields.face_frames(terrain(spark, sf))
+    return f.select("fid", r("e1x", 5).alias("ex"), r("e1y", 5).alias("ey"), r("e1z", 5).alias("ez"))
+
+
+@query("SELECT vid, count(*) AS n FROM (SELECT a AS vid FROM e WHERE n_faces = 2 UNION ALL SELECT b FROM e WHERE n_faces = 2) GROUP BY vid")
+def inner_edges_at_vertices(spark, sf):
+    e = terrain(spark, sf).edges.where("n_faces = 2")
+    return e.select(F.explode(F.array("a", "b")).alias("vid")).groupBy("vid").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) - (SELECT count(DISTINCT src) FROM h WHERE fid % 5 = 0) AS n_gone FROM v")
+def isolated_after_removal(spark, sf):
+    """Vertices that go once only every fifth face is left."""
+    mesh = terrain(spark, sf)
+    left = mesh.with_faces(mesh.faces.where("fid % 5 = 0"))
+    kept = repair.remove_isolated_vertices(left).vertices.agg(F.count("*").alias("k"))
+    return mesh.vertices.agg(F.count("*").alias("n")).crossJoin(F.broadcast(kept)).select((F.col("n") - F.col("k")).alias("n_gone"))
+
+
+@query()
+def transported_frames(spark, sf):
+    return rounded(fields.transport_angles(terrain(spark, sf)))
+
+
+@query()
+def harmonic_positions(spark, sf):
+    m = generators.grid(spark, 4.0, 4.0, 10, 10)
+    ends = m.vertices.where("vid < 11 OR vid >= 110").select("mesh_id", "vid", F.col("x").alias("tx"), F.lit(0.5).alias("ty"), F.col("z").alias("tz"))
+    return rounded_mesh(fields.harmonic_map(m, ends))
+
+
+@query()
+def laplacian_deformation(spark, sf):
+    m = generators.grid(spark, 4.0, 4.0, 10, 10)
+    ends = m.vertices.where("vid < 11 OR vid >= 110").select("mesh_id", "vid", F.col("x").alias("tx"), F.when(F.col("vid") < 11, F.lit(0.0)).otherwise(F.lit(1.0)).alias("ty"), F.col("z").alias("tz"))
+    return rounded_mesh(fields.laplacian_deformation(m, ends), 3)
+
+
+@query()
+def conformal_factors(spark, sf):
+    m = generators.icosphere(spark, 1)
+    return rounded_mesh(fields.scale_factors(m, m.vertices.select("mesh_id", "vid", F.lit(4 * math.pi / 42).alias("k"))))
+
+
+@query()
+def two_point_harmonic(spark, sf):
+    return rounded_mesh(fields.two_point_harmonic(generators.grid(spark, 4.0, 4.0, 12, 12)), 3)
+
+
+@query()
+def catmull_clark_points(spark, sf):
+    return rounded(refine.catmull_clark_subdivide(terrain(spark, sf)).vertices)
+
+
+@query()
+def remesh_target_lengths(spark, sf):
+    return rounded_mesh(simplify.target_length(_small(spark, sf)))
+
+
 def rounded_mesh(df: DataFrame, n: int = 4) -> DataFrame:
     return df.select(*((r(c, n).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes))
 

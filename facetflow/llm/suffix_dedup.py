@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import Scratch
 from . import bytesops as B
 
 LENGTH = 200
@@ -46,9 +46,7 @@ LEVELS = (32, 128, 192, 200)
 SHARD_BYTES = 1 << 19
 HOT_BYTES = 1 << 19
 #: Starts handled at a time within a long text.
-STRETCH = 1 << 21
-#: Rows of removals per text that may be broadcast to the last scan.
-BROADCAST_ROWS = 100_000
+STRETCH = 1 << 20
 
 _SPAN_CODE = B.random_u64(256, 43)
 _LOW = np.uint64((1 << 22) - 1)
@@ -269,12 +267,15 @@ def index_shard(length: int):
 RUNS = "uid long, lo long, hi long"
 
 
-def repeated_runs(units: DataFrame, length: int = LENGTH, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def repeated_runs(units: DataFrame, length: int = LENGTH, levels: tuple[int, ...] = LEVELS, scratch: Scratch | None = None) -> DataFrame:
     """Byte runs ``(uid, lo, hi)`` to remove from units ``(uid, body)``; runs may overlap."""
+    scratch = scratch or Scratch(units.sparkSession)
+    cut = scratch.cut
     k, deeper = levels[0], levels[1:]
     spans = cut(units.mapInArrow(anchor_batches(k, length), "fp long, span long, uid long, lo long, size int"), "spans")
     again = spans.groupBy("fp").agg(F.count("*").alias("t")).where("t > 1").select("fp")
     held = cut(spans.join(again, "fp"), "occurrences")
+    scratch.release(spans)
     kinds = held.groupBy("fp", "span", "size").agg(F.count("*").alias("c"), F.min(F.struct("uid", "lo")).alias("at"))
     kinds = cut(kinds, "kinds")
     groups = kinds.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("size").alias("mass")).where("kinds > 1")
@@ -298,7 +299,7 @@ def repeated_runs(units: DataFrame, length: int = LENGTH, levels: tuple[int, ...
         rest = pieces.join(hot, "fp", "left_semi").select(F.xxhash64("uid", "lo").alias("sub"), "uid", F.col("lo").alias("base"), "body")
         rest = cut(rest, "rest")
         if not rest.isEmpty():
-            below = repeated_runs(rest.select(F.col("sub").alias("uid"), "body"), length, deeper)
+            below = repeated_runs(rest.select(F.col("sub").alias("uid"), "body"), length, deeper, scratch)
             placed = below.withColumnRenamed("uid", "sub").join(rest.select("sub", "uid", "base"), "sub")
             out = out.unionByName(placed.select("uid", (F.col("base") + F.col("lo")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi")))
     return out
@@ -344,10 +345,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("the last level must be the window's length")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     texts = texts.withColumn("uid", F.xxhash64("id", "body"))
-    found = repeated_runs(texts.select("uid", "body"), length, levels)
-    per = cut(found.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
-    side = F.broadcast(per) if per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else per
-    joined = texts.join(side, "uid", "left").select("id", "body", "runs")
+    scratch = Scratch(docs.sparkSession)
+    found = repeated_runs(texts.select("uid", "body"), length, levels, scratch)
+    per = scratch.cut(found.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
+    scratch.release(but=(per,))
+    joined = texts.join(per, "uid", "left").select("id", "body", "runs")
     return joined.mapInArrow(keep_batches, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<lo:long,hi:long>>")
 
 

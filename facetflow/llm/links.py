@@ -6,9 +6,15 @@ other member of another component against them on full sets; then a hub has
 met all of its bucket and leaves it.  Buckets whose members have all come
 together leave too.  Hubs are the members that stand in the largest buckets,
 i.e. the centres of groups of copies, so that a group of thousands is mostly
-joined after one round; the hubs per bucket grow fourfold each round, so that a
+joined after one round; the hubs per bucket grow eightfold each round, so that a
 bucket that never joins is still tested completely.  No link between candidates
 is lost and nothing is capped.
+
+What is left after a round is thinned by an exact bound, as in prefix-filtered
+set joins: elements of a set that no other remaining set holds cannot be in any
+intersection, so a set whose shared elements are too few for the similarity
+cannot have a partner any more, and a pair is tested only if the smaller shared
+mass allows the link.
 """
 
 from __future__ import annotations
@@ -29,7 +35,8 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
     crowd = members.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
     held = cut(members.join(crowd, "bucket"), "members")
     weight = held.groupBy("id").agg(F.sum("crowd").alias("weight"))
-    live = cut(held.join(weight, "id").select("bucket", "id", "n", "weight", F.col("id").alias("comp")), "live")
+    live = held.join(weight, "id").select("bucket", "id", "n", F.col("n").alias("mass"), "weight", F.col("id").alias("comp"))
+    live = cut(live, "live")
     labels = live.select("id", "comp").distinct()
     tested = None
     slots = 1
@@ -37,12 +44,13 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
         if live.isEmpty():
             break
         hubs = live.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(
-            F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id", "n", "comp")).alias("m")
-        ).select("bucket", F.col("m.id").alias("hub"), F.col("m.n").alias("hn"), F.col("m.comp").alias("hc"))
+            F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id", "n", "mass", "comp")).alias("m")
+        ).select("bucket", F.col("m.id").alias("hub"), F.col("m.n").alias("hn"), F.col("m.mass").alias("hm"), F.col("m.comp").alias("hc"))
         hubs = cut(hubs, "hubs")
         met = live.join(hubs, "bucket").where(
             (F.col("comp") != F.col("hc"))
             & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
+            & (F.least("mass", "hm") * (100 + percent) >= (F.col("n") + F.col("hn")) * percent)
         )
         first = F.col("id") < F.col("hub")
         pairs = met.select(
@@ -64,13 +72,30 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
             labels = cut(renew(labels).select("id", "comp"), "labels")
             live = renew(live)
         open_ = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        live = cut(live.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "weight", "comp"), "live")
-        slots *= 4
+        live = cut(live.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "mass", "weight", "comp"), "live")
+        if not live.isEmpty():
+            live = cut(feasible(live, sets, percent), "live")
+        slots *= 8
     else:
         raise RuntimeError(f"buckets did not settle in {max_rounds} rounds")
     return labels.withColumnRenamed("comp", "component")
 
 
+def feasible(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that can still have a partner in another component of their bucket."""
+    ids = live.select("id").distinct()
+    items = cut(sets.join(ids, "id", "left_semi").select("id", F.explode("items").alias("item")), "items")
+    shared = items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1").select("item")
+    mass = items.join(shared, "item", "left_semi").groupBy("id").agg(F.count("*").alias("m"))
+    low = live.groupBy("bucket").agg(F.min("n").alias("low"))
+    held = live.drop("mass").join(mass, "id").join(low, "bucket")
+    least = F.greatest("low", F.ceil(F.col("n") * percent / 100))
+    held = held.where((F.col("m") * (100 + percent)) >= (F.col("n") + least) * percent)
+    held = held.select("bucket", "id", "n", F.col("m").alias("mass"), "weight", "comp")
+    open_ = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return held.join(open_, "bucket", "left_semi")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose full sets reach the similarity."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("xa"))

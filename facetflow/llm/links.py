@@ -34,8 +34,8 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
     """
     crowd = members.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
     held = cut(members.join(crowd, "bucket"), "members")
-    weight = held.groupBy("id").agg(F.sum("crowd").alias("weight"))
-    live = held.join(weight, "id").select("bucket", "id", "n", F.col("n").alias("mass"), "weight", F.col("id").alias("comp"))
+    weight = held.groupBy("id").agg(F.sum("crowd").alias("weight"), F.collect_set("bucket").alias("keys"))
+    live = held.join(weight, "id").select("bucket", "id", "n", F.col("n").alias("mass"), "weight", "keys", F.col("id").alias("comp"))
     live = cut(live, "live")
     labels = live.select("id", "comp").distinct()
     tested = None
@@ -47,8 +47,11 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
             F.max(F.struct("weight", F.xxhash64("id").alias("h"), "id", "n", "mass", "comp")).alias("m")
         ).select("bucket", F.col("m.id").alias("hub"), F.col("m.n").alias("hn"), F.col("m.mass").alias("hm"), F.col("m.comp").alias("hc"))
         hubs = cut(hubs, "hubs")
-        met = live.join(hubs, "bucket").where(
+        # a pair meets in every bucket that both are in; it is made in the first one that has the hub
+        own = hubs.groupBy("hub").agg(F.collect_set("bucket").alias("hkeys"))
+        met = live.join(hubs.join(own, "hub"), "bucket").where(
             (F.col("comp") != F.col("hc"))
+            & (F.array_min(F.array_intersect("keys", "hkeys")) == F.col("bucket"))
             & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
             & (F.least("mass", "hm") * (100 + percent) >= (F.col("n") + F.col("hn")) * percent)
         )
@@ -72,7 +75,7 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
             labels = cut(renew(labels).select("id", "comp"), "labels")
             live = renew(live)
         open_ = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        live = cut(live.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "mass", "weight", "comp"), "live")
+        live = cut(live.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "mass", "weight", "keys", "comp"), "live")
         if not live.isEmpty():
             live = cut(feasible(live, sets, percent), "live")
         slots *= 8
@@ -91,7 +94,7 @@ def feasible(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = live.drop("mass").join(mass, "id").join(low, "bucket")
     least = F.greatest("low", F.ceil(F.col("n") * percent / 100))
     held = held.where((F.col("m") * (100 + percent)) >= (F.col("n") + least) * percent)
-    held = held.select("bucket", "id", "n", F.col("m").alias("mass"), "weight", "comp")
+    held = held.select("bucket", "id", "n", F.col("m").alias("mass"), "weight", "keys", "comp")
     open_ = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
     return held.join(open_, "bucket", "left_semi")
 

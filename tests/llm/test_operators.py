@@ -325,6 +325,21 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.where("false")).count() == 0
 
 
+def test_line_dedup_across_word_counts(spark):
+    """Near lines of 15 and 16 words, and ones that spaces, length or repetition set apart."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(5, 11)))
+    docs = []
+    for _ in range(60):
+        w = [word() for _ in range(16)]
+        docs += [" ".join(w), " ".join(w[:7] + w[8:])]
+    long = [word() for _ in range(300)]
+    docs += [" ".join(long), " ".join(long[:140] + long[141:]), "é日" * 90, "é日" * 91 + "x", "-" * 24, "-" * 90]
+    want = brute.lines(list(enumerate(docs)))
+    assert sum(map(len, want.values())) >= 60
+    assert {r.id: r.removed for r in line_dedup.line_dedup(frame(spark, docs)).collect()} == want
+
+
 def test_word_kernels_agree_with_regular_expressions(corpus):
     import pyarrow as pa
 

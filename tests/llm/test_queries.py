@@ -43,6 +43,16 @@ def test_line_query_recall(spark, sf):
     assert found >= 0.99 * sum(map(len, want.values()))
 
 
+def test_line_query_takes_short_lines(spark, tmp_path):
+    """Short lines repeat and resemble each other too; blank ones stay."""
+    short = ["All rights reserved.", "a", "-----", "---------", "abcdefgh", "abcdefghi", "Seite 1", "é", "* * *"]
+    docs = [(i, "\n".join([f"line {i} of its own kind {i * 7919}", "", " ", *short[i % 4 :], "All rights reserved. "])) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.removed for r in llm_queries.queries()["op9_line_dedup"](spark, str(tmp_path)).collect()}
+    want = brute.lines(docs, least=1)
+    assert got == want and sum(map(len, want.values())) > 60
+
+
 @pytest.mark.parametrize(("name", "column"), [("op2_toxicity", "predicted"), ("op10_language_id", "lang_pred")])
 def test_held_out_accuracy(spark, sf, name, column):
     larger = sf.replace("sf0.001", "sf0.01")

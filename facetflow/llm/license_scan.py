@@ -9,8 +9,8 @@ expression: identifiers, ``and``, ``or``, ``with`` and parentheses, with
 alternatives, each a set of licences that hold together.
 
 Labels: of every phrase found, and of the licences of the best alternative
-(fewest licences, then by name) of every expression that parses.  Base phrases
-keep their labels whatever else is found.
+(fewest licences, then by name) of every expression that parses; that one is
+found without listing the others.  Base phrases keep their labels whatever else is found.
 
 Defined results: a null text is empty, without words or labels; text after a
 tag that is no expression adds nothing; overlapping phrases all count; repeated
@@ -21,6 +21,8 @@ empty result.
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +132,94 @@ def alternatives(expression: str, most: int = 512) -> list[frozenset[str]] | Non
     return stack[0]
 
 
+def joined(op: str, a, b):
+    """``a op b`` as (op, parts); an identifier is a string, and parts of the same kind are merged."""
+    parts = frozenset().union(*(x[1] if isinstance(x, tuple) and x[0] == op else (x,) for x in (a, b)))
+    return (op, parts) if len(parts) > 1 else next(iter(parts))
+
+
+def given(node, name: str, value: bool):
+    """What is left of the expression once a licence is taken or ruled out; True or False if nothing."""
+    if isinstance(node, str):
+        return value if node == name else node
+    op, parts = node
+    settles, out = op == "or", None
+    for x in parts:
+        x = given(x, name, value)
+        if x is settles:
+            return settles
+        if not isinstance(x, bool):
+            out = x if out is None else joined(op, out, x)
+    return (not settles) if out is None else out
+
+
+def licences_of(node) -> Counter:
+    return Counter([node]) if isinstance(node, str) else sum((licences_of(x) for x in node[1]), Counter())
+
+
+def smallest(node, known: dict) -> frozenset[str]:
+    """The set of fewest licences, then the first by name, that satisfies the expression.
+
+    Parts of an "and" that share no licence are settled one by one; within those
+    that do, the licence that occurs most is taken or ruled out.
+    """
+    if isinstance(node, str):
+        return frozenset([node])
+    if node not in known:
+        op, parts = node
+        if op == "or":
+            best = min((smallest(x, known) for x in parts), key=order)
+        else:
+            groups: list[tuple[set[str], list]] = []
+            for x in parts:
+                names, members = set(licences_of(x)), [x]
+                apart = []
+                for g in groups:
+                    if g[0] & names:
+                        names |= g[0]
+                        members += g[1]
+                    else:
+                        apart.append(g)
+                groups = [*apart, (names, members)]
+            if len(groups) > 1:
+                best = frozenset().union(*(smallest(m[0] if len(m) == 1 else ("and", frozenset(m)), known) for _, m in groups))
+            else:
+                name = min(licences_of(node).items(), key=lambda x: (-x[1], x[0]))[0]
+                with_it, without = given(node, name, True), given(node, name, False)
+                found = [frozenset([name]) if with_it is True else smallest(with_it, known) | {name}]
+                if without is not False:
+                    found.append(smallest(without, known))
+                best = min(found, key=order)
+        known[node] = best
+    return known[node]
+
+
+def order(names: frozenset[str]):
+    return len(names), sorted(names)
+
+
+def best_alternative(expression: str) -> frozenset[str] | None:
+    """The first of ``alternatives``, found without listing them, however many there are."""
+    postfix = to_postfix(TOKEN.findall(expression.lower()))
+    if postfix is None:
+        return None
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 4 * len(postfix)))  # no deeper than its operators
+    stack: list = []
+    for tok in postfix:
+        if tok not in RANK:
+            stack.append(tok)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if tok == "with":
+            sides = [smallest(x, {}) for x in (left, right)]
+            if any(len(s) > 1 or given(x, min(s), False) is not False for x, s in zip((left, right), sides)):
+                return None
+            stack.append(f"{min(sides[0])} with {min(sides[1])}")
+        else:
+            stack.append(joined(tok, left, right))
+    return smallest(stack[0], {})
+
+
 def family(identifier: str) -> str:
     base = identifier.split(" with ")[0]
     for prefix, label in FAMILIES:
@@ -173,10 +263,10 @@ class Scanner:
         text = raw.translate(self.lower).decode("utf-8", "replace")
         for end, _ in self.tags.iter(text):
             line = LINE.match(text, end + 1)[0]
-            found = alternatives(line)
+            found = best_alternative(line)
             if found:
                 expressions.append(line.strip())
-                labels |= {family(x) for x in found[0]}
+                labels |= {family(x) for x in found}
                 score = max(score, 0.95)
         return {
             "n_words": len(words), "n_base": len(starts), "first_word": places[0] if places else None, "last_word": places[-1] if places else None,

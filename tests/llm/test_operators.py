@@ -246,6 +246,30 @@ def test_license_expressions():
     assert f(wide) == [frozenset(x for i in range(12) for x in (f"a{i}", f"b{i}"))]
 
 
+def test_best_license_alternative(spark):
+    f, every = license_scan.best_alternative, license_scan.alternatives
+    for bad in ("", "and", "a b", "(a", "a)", "a or", "(a or b) with e", "(a and b) with e"):
+        assert f(bad) is None
+    rnd = random.Random(4)
+
+    def make(depth):
+        if not depth or rnd.random() < 0.2:
+            return rnd.choice(["a", "b", "c", "d", "e", "f", "a with x", "(a or a and b) with x"])
+        return "(" + rnd.choice([" and ", " or "]).join(make(depth - 1) for _ in range(rnd.randrange(2, 4))) + ")"
+
+    for _ in range(300):
+        text = make(3)
+        assert f(text) == every(text, 10**6)[0], text
+    assert f(" and ".join(f"(a{i} or b{i})" for i in range(40))) == {f"a{i}" for i in range(40)}
+    assert len(f(" and ".join(f"(a{i} or a{i + 1})" for i in range(40)))) == 20
+    deep = "a"
+    for i in range(800):
+        deep = f"(x{i} {('and', 'or')[i % 2]} {deep})"
+    assert f(deep) == {"x799"}
+    wide = "SPDX-License-Identifier: " + " and ".join(f"(a{i} or b{i})" for i in range(10))
+    assert license_scan.license_scan(frame(spark, [wide])).first().labels == ",".join(f"a{i}" for i in range(10))
+
+
 def test_url_filter(spark):
     log = [
         ("evil.example.com", "spam", "on", 10), ("evil.example.com", "spam", "off", 20), ("evil.example.com", "spam", "on", 30), ("evil.example.com", "spam", "on", 31),

@@ -160,17 +160,18 @@ class LanguageModel:
 def viterbi(score: np.ndarray, begin: np.ndarray, count: np.ndarray, switch: float) -> np.ndarray:
     """Best label of every word; texts advance together, longest first."""
     n_lang = score.shape[1]
-    out = np.zeros(len(score), np.int8)
+    kind = np.min_scalar_type(-max(n_lang, 1))  # signed, wide enough for every label
+    out = np.zeros(len(score), kind)
     if not len(score):
         return out
     order = np.argsort(-count, kind="stable")
     order = order[count[order] > 0]
     begin, count = begin[order], count[order]
     active = np.searchsorted(-count, -np.arange(count[0]), "left")  # texts with more than t words
-    back = np.zeros(score.shape, np.int8)
+    back = np.zeros(score.shape, kind)
     best = score[begin].copy()
     last = np.zeros((len(begin), n_lang), np.float32)
-    stay_id = np.arange(n_lang, dtype=np.int8)
+    stay_id = np.arange(n_lang, dtype=kind)
     last[:] = best
     for t in range(1, count[0]):
         n = active[t]
@@ -178,7 +179,7 @@ def viterbi(score: np.ndarray, begin: np.ndarray, count: np.ndarray, switch: flo
         move = best[np.arange(n), top] - np.float32(switch)
         keep = best[:n] >= move[:, None]
         at = begin[:n] + t
-        back[at] = np.where(keep, stay_id, top[:, None].astype(np.int8))
+        back[at] = np.where(keep, stay_id, top[:, None].astype(kind))
         best = np.where(keep, best[:n], move[:, None]) + score[at]
         last[:n] = best
     state = last.argmax(axis=1)

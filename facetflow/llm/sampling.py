@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Rates may be broadcast up to this many; beyond it they are joined by shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def fold(id_col: str = "doc_id"):
@@ -13,18 +15,18 @@ def fold(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(1))
 
 
-def bounded(rows: DataFrame, key: str, per_key: int, salt: int = 17, max_keys: int = 64) -> DataFrame:
-    """About ``per_key`` rows of each of the ``max_keys`` commonest values of ``key``.
+def bounded(rows: DataFrame, key: str, per_key: int, salt: int = 17) -> DataFrame:
+    """About ``per_key`` rows of each value of ``key`` that is not null.
 
     Rows are taken by a hash of their id, at a rate from the counts, so that the
     same rows are taken whatever their order or partitioning.
     """
-    counts = rows.groupBy(key).count().where(F.col(key).isNotNull()).orderBy(F.desc("count"), key).limit(max_keys).collect()
-    rate = None
-    for r in counts:
-        part = F.lit(min(1.0, per_key / r["count"]))
-        rate = F.when(F.col(key) == r[key], part) if rate is None else rate.when(F.col(key) == r[key], part)
-    if rate is None:
-        return rows.where("false")
+    rows = rows.where(F.col(key).isNotNull())
+    counts = rows.groupBy(key).agg(F.count("*").alias("key_rows"))
+    n_keys = counts.count()
+    if n_keys <= BROADCAST_KEYS:
+        counts = F.broadcast(counts)
+    rate = F.least(F.lit(1.0), F.lit(float(per_key)) / F.col("key_rows"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) / 1_000_000.0
-    return rows.where(draw < rate).limit(2 * per_key * max(len(counts), 1))
+    taken = rows.join(counts, key).where(draw < rate).select(*rows.columns)
+    return taken.limit(2 * per_key * max(n_keys, 1))

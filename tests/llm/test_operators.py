@@ -211,6 +211,18 @@ def test_language_spans(spark):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_of_many_languages(spark):
+    """140 languages, each with letters of its own words; none is left out of the sample."""
+    rnd = random.Random(3)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:03}" for k in range(140)]
+    vocabulary = {k: ["".join(rnd.choice(alphabet) for _ in range(9)) for _ in range(6)] for k in names}
+    rows = [(i, " ".join(rnd.choice(vocabulary[k]) for _ in range(12)), k) for i, k in enumerate(names * 5)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spans=False).collect()
+    truth = {i: k for i, _, k in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.98 * len(rows)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     score = rng.normal(size=(7, 3)).astype(np.float32)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 
 import numpy as np
@@ -69,12 +70,14 @@ def dijkstra(mesh: Mesh, sources: DataFrame) -> DataFrame:
     return per_mesh(mesh, run, FIELD + ", parent long", _marked(sources))
 
 
-def dijkstra_distributed(mesh: Mesh, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """The same distances for one mesh beyond a worker: rounds over the frontier only."""
+def dijkstra_distributed(mesh: Mesh, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """The same distances for one mesh beyond a worker: rounds over the frontier only, until it is empty."""
     e = cut(edge_lengths(mesh).select("mesh_id", F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("t")), F.struct(F.col("b").alias("s"), F.col("a").alias("t")))).alias("e"), "length").select("mesh_id", "e.s", "e.t", "length"), "graph")
     front = sources.select("mesh_id", "vid").distinct().withColumn("distance", F.lit(0.0))
     best = front = cut(front, "front")
-    for _ in range(max_rounds):
+    for n in itertools.count():
+        if n == max_rounds:
+            raise RuntimeError(f"the frontier is not empty after {max_rounds} rounds")
         step = front.withColumnRenamed("vid", "s").join(e, ["mesh_id", "s"]).groupBy("mesh_id", F.col("t").alias("vid")).agg(F.min(F.col("distance") + F.col("length")).alias("d"))
         old = best.select("mesh_id", "vid", F.col("distance").alias("old"))
         front = cut(step.join(old, ["mesh_id", "vid"], "left").where("old IS NULL OR d < old").select("mesh_id", "vid", F.col("d").alias("distance")), "front")
@@ -176,13 +179,15 @@ def heat_geodesic(mesh: Mesh, sources: DataFrame) -> DataFrame:
     return per_mesh(mesh, run, FIELD, _marked(sources))
 
 
-def window_kernel(points: np.ndarray, faces, sources, cap: int = 200) -> np.ndarray:
+def window_kernel(points: np.ndarray, faces, sources, cap: int | None = None) -> np.ndarray:
     """Exact distances over faces by windows of straight lines through unfolded triangles.
 
     A window is a stretch of an edge lit by a source, kept as the source's place
     in the edge's plane and the distance behind it.  Vertices that windows or
     edges reach where straight lines can bend (saddles, border) become sources
-    themselves.  Windows that no vertex can profit from are dropped.
+    themselves.  Windows that no vertex can profit from are dropped; all others are
+    followed to the end, unless ``cap`` is given: beyond ``20 * cap`` steps a face
+    it raises.
     """
     m = TriMesh(points, faces)
     dist = np.full(len(points), np.inf)
@@ -240,8 +245,10 @@ def window_kernel(points: np.ndarray, faces, sources, cap: int = 200) -> np.ndar
     for s in sources:
         dist[s] = 0.0
         shine(int(s), 0.0)
-    steps, most = 0, cap * max(len(m.f), 1) * 20
-    while heap and steps < most:
+    steps, most = 0, None if cap is None else cap * max(len(m.f), 1) * 20
+    while heap:
+        if steps == most:
+            raise RuntimeError(f"windows are left after {most} steps")
         steps += 1
         near, _, kind, data = heapq.heappop(heap)
         if kind == "v":

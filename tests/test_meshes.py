@@ -226,6 +226,17 @@ def test_geodesics(spark, ico):
     assert p[0] == 0 and p[-1] == 5
 
 
+def test_geodesics_never_stop_silently(spark, ico):
+    src = spark.createDataFrame([(ico.vertices.first().mesh_id, 0)], "mesh_id string, vid long")
+    with pytest.raises(RuntimeError):
+        geodesics.dijkstra_distributed(ico, src, max_rounds=2).count()
+    points = np.array([(float(x), float(y), 0.0) for y in range(4) for x in range(4)])
+    faces = [t for y in range(3) for x in range(3) for a in (4 * y + x,) for t in ((a, a + 1, a + 5), (a, a + 5, a + 4))]
+    with pytest.raises(RuntimeError):
+        geodesics.window_kernel(points, faces, [0], cap=0)
+    assert np.allclose(geodesics.window_kernel(points, faces, [0]), np.hypot(points[:, 0], points[:, 1]))
+
+
 def test_exact_geodesic_on_plane(spark):
     g = held(generators.grid(spark, 4, 4, 4, 4))
     src = spark.createDataFrame([("grid", 0)], "mesh_id string, vid long")

@@ -7,12 +7,14 @@ bounded in bytes; a single longer text is a block of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C55)
@@ -51,6 +53,13 @@ def blocks(off: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def trim() -> None:
+    """Give freed memory back, so that a reused worker does not carry it on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lower_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32

@@ -345,6 +345,88 @@ def test_sentencepiece_samples_the_lattice():
         assert abs(seen.get(k, 0) / n - w / total) < 0.02
 
 
+def test_sentencepiece_does_not_depend_on_blocks(monkeypatch):
+    """Kept lattices, the size of blocks and other texts beside it change nothing; long units go window by window."""
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    texts = [" ".join("".join(rnd.choice("abcdeéñ日本") for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(300))) for _ in range(40)]
+    texts += ["日本語" * 500, "ab" * 700 + " x", "  ", "\n\n a", texts[3]]
+    pieces = sentencepiece_codec.Pieces.load(sentencepiece_codec.MODEL, 1.0)
+
+    def run(texts, keys):
+        data, off = bytesops.column_bytes(pa.array(texts))
+        out, sampler = [], sentencepiece_codec.Sampler(pieces)
+        for _, _, ids, bound, same in sentencepiece_codec.encoded_rows(sampler, data, off, keys):
+            assert same.all()
+            out += [ids[a:b].tolist() for a, b in zip(bound[:-1], bound[1:])]
+        return out
+
+    keys = bytesops.mix(np.arange(len(texts), dtype=np.uint64))
+    monkeypatch.setattr(sentencepiece_codec, "LONG_UNIT", 1000)
+    want = run(texts, keys)
+    for block, kept in ((1 << 18, 50), (700, 1 << 18), (64, 64)):
+        monkeypatch.setattr(sentencepiece_codec, "BLOCK_BYTES", block)
+        monkeypatch.setattr(sentencepiece_codec, "KEPT_BYTES", kept)
+        assert run(texts, keys) == want
+    assert [run([t], keys[i : i + 1])[0] for i, t in enumerate(texts)] == want
+
+
+def test_sentencepiece_long_unit_has_the_same_distribution():
+    pieces = sentencepiece_codec.Pieces.load(sentencepiece_codec.MODEL, 1.0)
+    sampler = sentencepiece_codec.Sampler(pieces)
+    data = np.frombuffer(" ababé".encode(), np.uint8)
+    seeds = bytesops.mix(np.arange(400, dtype=np.uint64))
+    short, count = sampler.sample(np.tile(data, 400), np.arange(400) * len(data), np.arange(1, 401) * len(data), seeds)
+    for window in (1, 3, 100):
+        long = [sentencepiece_codec.sample_long(pieces, sampler.table, data, x, window) for x in seeds]
+        assert np.array_equal(np.concatenate(long), short) and [len(x) for x in long] == count.tolist()
+
+
+def test_sentencepiece_of_colliding_units(monkeypatch):
+    """Units are compared by their bytes, not only by their hash."""
+    import pyarrow as pa
+
+    pieces = sentencepiece_codec.Pieces.load(sentencepiece_codec.MODEL, 1.0)
+    sampler = sentencepiece_codec.Sampler(pieces)
+    data, off = bytesops.column_bytes(pa.array(["one two three two", "four one"]))
+    real = bytesops.span_hashes
+    monkeypatch.setattr(sampler, "_number", lambda h: np.where(len(sampler.code) > 0, 0, -1) + np.zeros(len(h), np.int64))
+    assert bytesops.span_hashes is real
+    for _, _, ids, bound, same in sentencepiece_codec.encoded_rows(sampler, data, off, np.arange(2, dtype=np.uint64)):
+        assert same.all()
+
+
+def test_sentencepiece_long_text_in_bounded_memory():
+    """A text of 24 MB costs its own bytes and pieces, and little besides."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from facetflow.llm import sentencepiece_codec as S
+pieces = S.Pieces.load(S.MODEL, 1.0)
+rng = np.random.default_rng(1)
+words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(2, 10, 3000)]
+text = np.frombuffer(b" ".join(words[i] for i in rng.integers(0, 3000, 3_700_000)), np.uint8)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+got = list(S.encoded_rows(S.Sampler(pieces), text, np.array([0, len(text)]), np.zeros(1, np.uint64)))
+assert len(text) > 24e6 and got[0][4].all() and got[0][3][1] == len(got[0][2])
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1e3)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 300
+
+
+def test_pieces_beside_all_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 5), (None, None, None, None), (3, "", "y", 2)], "doc_id long, text string, pieces string, n_chars int")
+    got = sentencepiece_codec.with_pieces(docs)
+    assert got.columns == ["doc_id", "text", "pieces_in", "n_chars", "n_pieces", "pieces", "lossless"]
+    plain = {r.id: r.pieces for r in sentencepiece_codec.encode(docs).collect()}
+    assert {(r.doc_id, r.text, r.pieces_in, r.n_chars) for r in got.collect()} == {tuple(r) for r in docs.collect()}
+    assert {r.doc_id: r.pieces for r in got.collect()} == plain
+
+
 def test_line_dedup(spark):
     rnd = random.Random(8)
     line = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(n))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import Scratch
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -22,6 +22,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     Loops only name their node; null ends are ignored.  Any orderable id type
     works, structs included.  An empty edge list gives an empty result.
     """
+    scratch = Scratch(edges.sparkSession)
+    cut = scratch.cut
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     live = given.where("u <> v")
     hooks: list[DataFrame] = []
@@ -30,6 +32,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         both = live.union(live.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         both = cut(both, "cc-edges")
         if both.isEmpty():
+            scratch.release(but=tuple(hooks))
             break
         degree = both.groupBy("u").agg(F.count("*").alias("d"))
         order = lambda c, d: F.struct((-F.col(d)).alias("d"), F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("x"))
@@ -39,6 +42,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         )
         hook = cut(hook, "cc-hooks")
         hooks.append(hook)
+        scratch.release(but=(*hooks, both))
         left = hook.select(F.col("id").alias("u"), F.col("up").alias("pu"))
         right = hook.select(F.col("id").alias("v"), F.col("up").alias("pv"))
         live = both.where("u < v").join(left, "u").join(right, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
@@ -55,4 +59,6 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         return nodes.select("id", F.col("id").alias("component"))
     rooted = nodes.join(top, "id", "left").select("id", F.coalesce("up", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    return rooted.join(least, "root").select("id", "component")
+    out = cut(rooted.join(least, "root").select("id", "component"), "cc-labels")
+    scratch.release(but=(out,))
+    return out

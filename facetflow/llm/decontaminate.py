@@ -15,7 +15,9 @@ holds; everything after works on those few rows:
 
 Defined results: a null, empty or wordless text has no words and no hits; items
 without words give no window; repeated items count by their own ids; an empty
-benchmark gives zeros; columns other than id and text are not looked at.
+benchmark gives zeros; columns other than id and text are not looked at.  Rows
+are judged one by one, known by a 128-bit hash of id and text: rows that repeat
+an id with another text do not mix, a row without an id counts like any other.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import Scratch
 
 #: Fixed values of the contract: characters that separate words, and A-Z.
 SEPARATORS = "".join(chr(c) for c in [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -76,20 +78,25 @@ def decontaminate(
 
     ``spans`` are the maximal runs of hit words as (first, last + 1).
     """
+    scratch = Scratch(docs.sparkSession)
+    cut = scratch.cut
     windows = cut(item_windows(items, item_id, item_text, window, shingle), "windows")
     tokens = windows.select("k", F.explode("parts").alias("sh")).distinct()
     sizes = [r["k"] for r in windows.select("k").distinct().collect()]  # at most ``shingle`` values
-    texts = docs.select(F.col(doc_id).alias("id"), words(F.col(doc_text)).alias("w"))
-    counted = texts.select("id", F.size("w").cast("long").alias("n_words"))
+    # rows that share id and text are alike in all that follows; the id is part of the key, and may be null
+    raw = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).cast("string").alias("t"))
+    raw = raw.select("id", F.xxhash64("id", "t").alias("r1"), F.xxhash64(F.lit(97), "t", "id").alias("r2"), "t")
+    texts = raw.select("id", "r1", "r2", words(F.col("t")).alias("w"))
+    counted = texts.select("id", "r1", "r2", F.size("w").cast("long").alias("n_words"))
     found = None
     for k in sizes:
-        rows = texts.select("id", F.size("w").alias("n"), F.posexplode(shingle_texts("w", k)).alias("pos", "sh")).where("sh is not null")
+        rows = texts.select("r1", "r2", F.size("w").alias("n"), F.posexplode(shingle_texts("w", k)).alias("pos", "sh")).where("sh is not null")
         rows = rows.join(small(tokens.where(F.col("k") == k).select("sh")), "sh").withColumn("k", F.lit(k))
         found = rows if found is None else found.unionByName(rows)
     if found is None:
-        hits = counted.where("false").select("id", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("spans"))
+        hits = counted.where("false").select("r1", "r2", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("spans"))
         return _report(counted, hits)
-    found = cut(found.select("id", "n", "pos", "k", "sh"), "matches")
+    found = cut(found.select("r1", "r2", "n", "pos", "k", "sh"), "matches")
     # rarity: document-side frequency of the benchmark's shingles; ties by text
     rarity = found.groupBy("k", "sh").agg(F.count("*").alias("freq"))
     spread = windows.select("wid", "len", "k", F.posexplode("parts").alias("at", "sh"))
@@ -98,19 +105,19 @@ def decontaminate(
         F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), "sh", "at")).alias("m")
     ).where("m.f > 0").select("wid", "len", "k", F.col("m.sh").alias("sh"), F.col("m.at").alias("at"))
     prefix = cut(prefix, "prefix")
-    cands = found.join(small(prefix), ["k", "sh"]).select("id", "n", "k", "wid", "len", (F.col("pos") - F.col("at")).alias("start"))
+    cands = found.join(small(prefix), ["k", "sh"]).select("r1", "r2", "n", "k", "wid", "len", (F.col("pos") - F.col("at")).alias("start"))
     cands = cands.where("start >= 0 and start + len <= n")
     # a window with a single shingle is verified by the prefix itself
     parts = windows.where("size(parts) > 1").select("wid", F.size("parts").alias("need"), F.posexplode("parts").alias("at", "sh"))
     many = cands.join(small(windows.where("size(parts) > 1").select("wid", "parts")), "wid")
-    want = many.select("id", "wid", "start", "len", F.size("parts").alias("need"), "k", F.posexplode("parts").alias("at", "sh"))
+    want = many.select("r1", "r2", "wid", "start", "len", F.size("parts").alias("need"), "k", F.posexplode("parts").alias("at", "sh"))
     want = want.withColumn("pos", F.col("start") + F.col("at"))
-    whole = want.join(found.select("id", "pos", "k", "sh"), ["id", "pos", "k", "sh"]).groupBy("id", "wid", "start", "len", "need").agg(F.count("*").alias("got"))
-    whole = whole.where("got >= need").select("id", "wid", "start", "len")
-    alone = cands.join(small(windows.where("size(parts) = 1").select("wid")), "wid", "left_semi").select("id", "wid", "start", "len")
+    whole = want.join(found.select("r1", "r2", "pos", "k", "sh"), ["r1", "r2", "pos", "k", "sh"]).groupBy("r1", "r2", "wid", "start", "len", "need").agg(F.count_distinct("at").alias("got"))
+    whole = whole.where("got >= need").select("r1", "r2", "wid", "start", "len")
+    alone = cands.join(small(windows.where("size(parts) = 1").select("wid")), "wid", "left_semi").select("r1", "r2", "wid", "start", "len")
     placed = whole.unionByName(alone)
     placed = placed.join(small(windows.select("wid", "item_ids")), "wid")
-    per = placed.groupBy("id").agg(
+    per = placed.groupBy("r1", "r2").agg(
         F.sort_array(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e")))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("item_ids", lambda x: x.cast("string")))))).alias("items"),
     )
@@ -119,13 +126,14 @@ def decontaminate(
         CASE WHEN size(acc) > 0 AND r.s <= element_at(acc, -1).e
              THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, r.e))))
              ELSE concat(acc, array(named_struct('s', r.s, 'e', r.e))) END)"""
-    hits = per.select("id", F.expr(fold).alias("spans"), "items")
-    hits = hits.withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, x) -> a + (x.e - x.s))"))
+    hits = per.select("r1", "r2", F.expr(fold).alias("spans"), "items")
+    hits = cut(hits.withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, x) -> a + (x.e - x.s))")), "hits")
+    scratch.release(but=(hits,))
     return _report(counted, hits)
 
 
 def _report(counted: DataFrame, hits: DataFrame) -> DataFrame:
-    out = counted.join(hits, "id", "left")
+    out = counted.join(hits, ["r1", "r2"], "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(

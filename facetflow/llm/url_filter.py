@@ -14,7 +14,8 @@ Defined results: a null or unparsable URL, or a null fetch time, is allowed
 with no matches; a null in an entry's rule, action or time drops the entry;
 entries of one rule at one time: the last action in sorted order holds ("off"
 before "on"); repeated entries change nothing; an interval never closed has a
-null ``until``; an empty list allows everything; extra columns are ignored.
+null ``until``; an empty list allows everything; captures that repeat an id are judged
+one by one, those without an id like any other; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,15 +52,21 @@ def intervals(entries: DataFrame) -> DataFrame:
     return turned.where("action = 'on'").select("rule", "category", F.col("at").alias("since"), "until")
 
 
+def capture_of(*cols):
+    """128 bits that stand for one capture: its id, URL and fetch time, any of which may be null."""
+    return F.xxhash64(*cols).alias("r1"), F.xxhash64(F.lit(97), *reversed(cols)).alias("r2")
+
+
 def capture_keys(captures: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:
     """One row per capture and rule that could cover it."""
-    c = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(time_col).alias("fetched"))
+    c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched")).distinct()
+    c = c.select(*capture_of("id", "url", "fetched"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "fetched")
     c = c.where("host <> '' AND fetched IS NOT NULL")
     domains = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000000), '.'))")
     steps = F.expr(
         "CASE WHEN path = '' THEN array() ELSE transform(sequence(2, size(split(path, '/'))), i -> concat(host, array_join(slice(split(path, '/'), 1, i), '/'))) END"
     )
-    return c.select("id", "fetched", F.explode(F.array_distinct(F.concat(domains, F.transform(steps, F.lower)))).alias("rule"))
+    return c.select("r1", "r2", "fetched", F.explode(F.array_distinct(F.concat(domains, F.transform(steps, F.lower)))).alias("rule"))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
@@ -72,11 +79,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     valid = F.broadcast(valid) if valid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else valid
     keys = capture_keys(captures, id_col, url_col, time_col)
     held = keys.join(valid, "rule").where("since <= fetched AND (until IS NULL OR fetched < until)")
-    per = held.groupBy("id").agg(
+    per = held.groupBy("r1", "r2").agg(
         F.count_distinct("rule").alias("n_rules"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"), F.min("since").alias("since")
     )
-    base = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"))
-    out = base.join(per, "id", "left")
+    base = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), *capture_of(id_col, url_col, time_col))
+    out = base.join(per, ["r1", "r2"], "left")
     return out.select("id", F.coalesce("host", F.lit("")).alias("host"), F.col("n_rules").isNotNull().alias("blocked"), F.coalesce("n_rules", F.lit(0)).cast("long").alias("n_rules"), F.coalesce("categories", F.lit("")).alias("categories"), "since")
 
 

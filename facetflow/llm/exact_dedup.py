@@ -9,7 +9,8 @@ once, map-side deduplicated, and all that follows moves recipes.
 Defined results: a null text counts as empty; an empty text has an empty
 recipe, so that empty texts are copies of each other; an empty table gives an
 empty result; columns other than the id and the text are not looked at; rows
-that repeat an id are rows of their own.
+that repeat an id are rows of their own; just one row of a group is kept, also
+of rows that share an id or have none (a row without an id only if none has one).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import Scratch
 
 #: A chunk ends behind white space when the next letters are of a kind that
 #: content decides, after ``least`` characters and before ``most``.
@@ -58,20 +59,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The largest id of a group stays.  Where a clash of identifiers is found,
     the texts that hold such a chunk are compared in full beside their recipes.
     """
-    listed = cut(recipes(docs, id_col, text_col), "recipes")
+    scratch = Scratch(docs.sparkSession)
+    cut = scratch.cut
+    # the number of a row is drawn once, as the table is written
+    listed = cut(recipes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "recipes")
     bad = cut(clashes(docs, text_col), "clashes")
     if bad.isEmpty():
-        keyed = listed.withColumn("full", F.lit(None).cast("string"))
+        keyed = listed.withColumn("full", F.lit(""))
     else:
-        hit = listed.select("id", F.explode("recipe").alias("ident")).join(bad, "ident", "left_semi").select("id").distinct()
-        texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("full")).join(hit, "id", "left_semi")
-        keyed = listed.join(texts.dropDuplicates(["id"]), "id", "left")
-    groups = keyed.groupBy("n_bytes", "recipe", F.coalesce("full", F.lit("")).alias("full")).agg(
-        F.max("id").alias("keep_id"), F.count("*").alias("group_size")
-    )
-    left = keyed.withColumn("full", F.coalesce("full", F.lit("")))
-    out = left.join(groups, ["n_bytes", "recipe", "full"])
-    return out.select("id", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256")
+        hit = listed.select("text_sha256", F.explode("recipe").alias("ident")).join(bad, "ident", "left_semi").select("text_sha256").distinct()
+        full = F.coalesce(F.col(text_col), F.lit(""))
+        texts = docs.select(F.sha2(full, 256).alias("text_sha256"), full.alias("full")).distinct().join(hit, "text_sha256", "left_semi")
+        keyed = listed.join(texts, "text_sha256", "left").withColumn("full", F.coalesce("full", F.lit("")))
+    same = ["n_bytes", "recipe", "full"]
+    groups = keyed.groupBy(*same).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    out = keyed.join(groups, same)
+    # rows without an id, or that repeat one, are told apart by their number
+    vague = listed.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 OR id IS NULL").select("id")
+    if vague.isEmpty():
+        kept = F.col("id") == F.col("keep_id")
+    else:
+        last = keyed.groupBy(*same).agg(F.max(F.struct("id", "row"))["row"].alias("last"))
+        out = out.join(last, same)
+        kept = F.col("row") == F.col("last")
+    return out.select("id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

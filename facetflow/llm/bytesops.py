@@ -92,6 +92,27 @@ def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.n
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
+def stretches(data: np.ndarray, off: np.ndarray, sep: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """The whole of a block, or of a single longer row stretches that end at separators.
+
+    A longer run without a separator is a stretch of its own.
+    """
+    lo, n = 0, len(data)
+    if len(off) > 2 or n <= limit:
+        yield 0, n
+        return
+    while lo < n:
+        hi, size = n, limit
+        while lo + size < n:
+            at = np.flatnonzero(sep[data[lo : lo + size]])
+            if len(at) and at[-1]:
+                hi = lo + int(at[-1])
+                break
+            size *= 2
+        yield lo, hi
+        lo = hi
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> _U(30))

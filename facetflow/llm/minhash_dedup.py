@@ -12,8 +12,9 @@ probability of about 8e-6, one at 0.95 with less than 1e-11.
 
 Defined results: a null, empty or wordless text has an empty set and is a
 component of its own; a text of fewer words than a shingle is one shingle;
-rows that repeat an id are one node; a row without an id is compared but names
-no component; extra columns are ignored; an empty table gives an empty result.
+rows that repeat an id are one document, their sets are linked; a row without an
+id is compared like others but names no component; a component without any id
+has none; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.components import connected_components
+from ..plans.lineage import Scratch
 from . import bytesops as B
 from .links import linked_components
 
@@ -54,13 +56,23 @@ def signature(fingerprints: np.ndarray, coords: int) -> np.ndarray:
     return out
 
 
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word; one long text is read in stretches that end between words."""
+    hashes, rows = [], []
+    for lo, hi in B.stretches(data, off, B.SPACE):
+        part = B.LOWER[data[lo:hi]]
+        local = off if hi - lo == len(data) else np.array([0, hi - lo])
+        s, e, row = B.word_spans(part, local, B.SPACE)
+        hashes.append(B.span_hashes(B.prefix_hashes(part), s, e))
+        rows.append(row)
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
 def text_sets(col, k: int):
     """Per block of rows: first row, distinct fingerprints, offsets."""
     data, off = B.column_bytes(col)
     for i, j in B.blocks(off):
-        part = B.LOWER[data[off[i] : off[j]]]
-        s, e, row = B.word_spans(part, off[i : j + 1] - off[i], B.SPACE)
-        words = B.span_hashes(B.prefix_hashes(part), s, e)
+        words, row = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
         hashes, rows = B.shingle_hashes(words, row, j - i, k)
         yield i, j, *B.distinct_per_row(hashes, rows, j - i)
 
@@ -77,9 +89,8 @@ def sign_batches(k: int, bands: int, rows: int):
                 for r in np.flatnonzero(size):
                     own = vals[bound[r] : bound[r + 1]]
                     sig[r] = signature(own, bands * rows)
-                    d = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                    k1.append(int.from_bytes(d[:8], "little", signed=True))
-                    k2.append(int.from_bytes(d[8:], "little", signed=True))
+                    for at, x in zip((k1, k2), set_key(own)):
+                        at.append(x)
                 n.append(size)
                 with np.errstate(over="ignore"):
                     wide = sig.reshape(j - i, bands, rows).astype(np.uint64) + np.uint64(1)
@@ -90,9 +101,10 @@ def sign_batches(k: int, bands: int, rows: int):
             wide = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
             fill = lambda xs: pa.array(_spread(np.array(xs, np.int64), full), mask=~full)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), fill(k1), fill(k2), pa.ListArray.from_arrays(pa.array(wide), pa.array(flat))],
-                names=["id", "n", "k1", "k2", "bands"],
+                [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), fill(k1), fill(k2), pa.ListArray.from_arrays(pa.array(wide), pa.array(flat))],
+                names=["id", "t", "n", "k1", "k2", "bands"],
             )
+            B.trim()
 
     return run
 
@@ -106,13 +118,23 @@ def _spread(values: np.ndarray, where: np.ndarray) -> np.ndarray:
 def set_batches(k: int):
     def run(batches):
         for batch in batches:
-            for i, j, vals, bound in text_sets(batch.column(1), k):
-                items = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(vals.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), items], names=["id", "items"])
+            for _, _, vals, bound in text_sets(batch.column(0), k):
+                some = np.flatnonzero(np.diff(bound))
+                key = np.array([set_key(vals[bound[r] : bound[r + 1]]) for r in some], np.int64).reshape(-1, 2)
+                off = np.concatenate([bound[some], bound[-1:]]).astype(np.int32)
+                node = pa.StructArray.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1])], ["k1", "k2"])
+                yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(off), pa.array(vals.view(np.int64)))], names=["id", "items"])
+            B.trim()
 
     return run
 
 
+def set_key(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a whole set."""
+    d = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -126,22 +148,38 @@ def near_dedup(
 
     ``component_id`` is the smallest id reachable over links; it is kept.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = texts.mapInArrow(sign_batches(k, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>")
+    scratch = Scratch(docs.sparkSession)
+    cut = scratch.cut
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    signed = texts.select("id", "text", "t").mapInArrow(sign_batches(k, bands, rows), "id long, t long, n long, k1 long, k2 long, bands array<long>")
     signed = cut(signed, "signed")
-    same = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-    same = cut(same.where("rep is not null"), "same")
-    reps = signed.where("id is not null").join(same.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = cut(members.join(members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "bucket", "left_semi"), "shared")
-    wanted = shared.select("id").distinct()
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(set_batches(k), "id long, items array<long>").dropDuplicates(["id"])
-    labels = linked_components(shared, cut(sets, "sets"), percent)
-    known = same.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "k1", "k2").join(known, ["k1", "k2", "n"], "left")
-    component = F.coalesce("component", "id")
+    # nodes are distinct sets; equal sets have equal bands
+    nodes = signed.where("n > 0").select(F.struct("k1", "k2").alias("node"), "id", "t", "n", "bands")
+    members = nodes.select("node", "n", F.explode("bands").alias("bucket")).distinct()
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    shared = cut(members.join(crowd, "bucket", "left_semi").select("bucket", F.col("node").alias("id"), "n"), "shared")
+    held = nodes.groupBy("node").agg(F.min("t").alias("t"))
+    wanted = cut(held.join(shared.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("t").distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
+    sets = texts.join(few, "t", "left_semi").select("text").mapInArrow(set_batches(k), "id struct<k1:long,k2:long>, items array<long>")
+    sets = cut(sets.dropDuplicates(["id"]), "sets")
+    labels = cut(linked_components(shared, sets, percent), "linked")
+    scratch.release(but=(signed, labels))
+    # the texts of one id are one document
+    ids = nodes.where("id IS NOT NULL").select("id", "node").distinct()
+    spread = ids.groupBy("id").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("id", "a")
+    spread = cut(ids.join(spread, "id").select("a", F.col("node").alias("b")), "spread")
+    if not spread.isEmpty():
+        both = spread.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        labels = cut(connected_components(both), "joined")
+    of = signed.where("n > 0").select("id", F.struct("k1", "k2").alias("node")).join(labels.withColumnRenamed("id", "node"), "node", "left")
+    of = of.select("node", "id", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min("id").alias("component_id"))
+    known = of.select("node", "component").distinct().join(least, "component").select("node.k1", "node.k2", "component_id")
+    known = cut(known, "known")
+    scratch.release(but=(signed, known))
+    out = signed.select("id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
+    component = F.coalesce("component_id", "id")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 

@@ -56,6 +56,8 @@ FAMILIES = (
     ("agpl-", "agpl"), ("lgpl-", "lgpl"), ("gpl-", "gpl"), ("apache-", "apache"), ("mit", "mit"), ("bsd-", "bsd"), ("mpl-", "mpl"),
     ("cc-by", "cc-by"), ("cc0-", "cc0"), ("epl-", "epl"), ("isc", "isc"), ("unlicense", "unlicense"), ("zlib", "zlib"),
 )
+#: Identifiers that versions or variants follow behind a hyphen.
+HYPHENATED = ("cc-by", "mit")
 RANK = {"or": 1, "and": 2, "with": 3}
 LINE = re.compile(r"[^\r\n]*")
 TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-:]*")
@@ -102,11 +104,11 @@ def minimal(sets: set[frozenset[str]]) -> list[frozenset[str]]:
     return kept
 
 
-def alternatives(expression: str, most: int = 512) -> list[frozenset[str]] | None:
+def alternatives(expression: str) -> list[frozenset[str]] | None:
     """Smallest sets of licences that satisfy the expression, the best one first.
 
-    ``a with e`` is one licence.  An expression with more than ``most`` such
-    sets counts as asking for all its licences together.
+    ``a with e`` is one licence.  All sets are listed, so this is for short
+    expressions; ``best_alternative`` finds the first one of any.
     """
     tokens = TOKEN.findall(expression.lower())
     postfix = to_postfix(tokens)
@@ -126,8 +128,6 @@ def alternatives(expression: str, most: int = 512) -> list[frozenset[str]] | Non
             made = {frozenset([f"{min(left[0])} with {min(right[0])}"])}
         else:
             return None
-        if len(made) > most:
-            return [frozenset(t for t in postfix if t not in RANK)]
         stack.append(minimal(made))
     return stack[0]
 
@@ -220,12 +220,13 @@ def best_alternative(expression: str) -> frozenset[str] | None:
     return smallest(stack[0], {})
 
 
-def family(identifier: str) -> str:
-    base = identifier.split(" with ")[0]
+def family(identifier: str) -> str | None:
+    """Label of an identifier: of its family, its own name for ``licenseref-``, else none."""
+    base = identifier.split(" with ")[0].removesuffix("+")
     for prefix, label in FAMILIES:
-        if base.startswith(prefix):
+        if base == prefix or (prefix.endswith("-") and base.startswith(prefix)) or base.startswith(prefix + "-") and prefix in HYPHENATED:
             return label
-    return base
+    return base if base.startswith("licenseref-") else None
 
 
 class Scanner:
@@ -266,7 +267,7 @@ class Scanner:
             found = best_alternative(line)
             if found:
                 expressions.append(line.strip())
-                labels |= {family(x) for x in found}
+                labels |= {family(x) for x in found} - {None}
                 score = max(score, 0.95)
         return {
             "n_words": len(words), "n_base": len(starts), "first_word": places[0] if places else None, "last_word": places[-1] if places else None,

@@ -4,7 +4,8 @@ Two ids are candidates if they share a bucket.  All pairs of a bucket are never
 emitted.  Instead each round takes a few hubs of every bucket and tests every
 other member of another component against them on full sets; then a hub has
 met all of its bucket and leaves it.  Buckets whose members have all come
-together leave too.  Hubs are the members that stand in the largest buckets,
+together leave too.  Where what is left are small buckets, a last round takes
+every member as a hub.  Hubs are the members that stand in the largest buckets,
 i.e. the centres of groups of copies, so that a group of thousands is mostly
 joined after one round; the hubs per bucket grow eightfold each round, so that a
 bucket that never joins is still tested completely.  No link between candidates
@@ -23,7 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.lineage import cut
+from ..plans.lineage import Scratch
+
+#: Buckets of so many members, weighted by members, are tested in one round.
+FEW = 16
 
 
 def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rounds: int = 60) -> DataFrame:
@@ -32,15 +36,18 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
     members: ``(bucket, id, n)`` with n the set's size.  sets: ``(id, items)``.
     Two ids are linked if ``100 * intersection >= percent * union``.
     """
+    scratch = Scratch(members.sparkSession)
+    cut = scratch.cut
     crowd = members.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
     held = cut(members.join(crowd, "bucket"), "members")
     weight = held.groupBy("id").agg(F.sum("crowd").alias("weight"), F.collect_set("bucket").alias("keys"))
     live = held.join(weight, "id").select("bucket", "id", "n", F.col("n").alias("mass"), "weight", "keys", F.col("id").alias("comp"))
     live = cut(live, "live")
-    labels = live.select("id", "comp").distinct()
-    tested = None
+    labels = cut(live.select("id", "comp").distinct(), "labels")
+    tested: list[DataFrame] = []
     slots = 1
     for _ in range(max_rounds):
+        scratch.release(but=(live, labels, *tested))
         if live.isEmpty():
             break
         hubs = live.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(
@@ -62,29 +69,35 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
             F.when(first, F.col("comp")).otherwise(F.col("hc")).alias("ca"),
             F.when(first, F.col("hc")).otherwise(F.col("comp")).alias("cb"),
         ).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        for known in tested:
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         linked = cut(verify(pairs, sets, percent), "links")
-        known = pairs.select("a", "b")
-        tested = known if tested is None else tested.unionByName(known)
-        live = live.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+        tested.append(pairs)
+        left = live.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         if not linked.isEmpty():
             moved = cut(connected_components(linked, "ca", "cb").withColumnRenamed("id", "comp").withColumnRenamed("component", "to"), "moved")
             renew = lambda df: df.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
             labels = cut(renew(labels).select("id", "comp"), "labels")
-            live = renew(live)
-        open_ = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        live = cut(live.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "mass", "weight", "keys", "comp"), "live")
-        if not live.isEmpty():
-            live = cut(feasible(live, sets, percent), "live")
-        slots *= 8
+            left = renew(left)
+        open_ = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+        live = cut(left.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "mass", "weight", "keys", "comp"), "live")
+        if live.isEmpty():
+            continue
+        # as many hubs as members where that is work in proportion to the members; else the bound first
+        size = live.groupBy("bucket").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("all"), F.sum("c").alias("rows")).first()
+        if size["all"] <= FEW * size["rows"]:
+            slots = 1 << 30
+        else:
+            live = feasible(live, sets, percent, cut)
+            slots *= 8
     else:
         raise RuntimeError(f"buckets did not settle in {max_rounds} rounds")
+    scratch.release(but=(labels,))
     return labels.withColumnRenamed("comp", "component")
 
 
-def feasible(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def feasible(live: DataFrame, sets: DataFrame, percent: int, cut) -> DataFrame:
     """Members that can still have a partner in another component of their bucket."""
     ids = live.select("id").distinct()
     items = cut(sets.join(ids, "id", "left_semi").select("id", F.explode("items").alias("item")), "items")
@@ -94,9 +107,9 @@ def feasible(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = live.drop("mass").join(mass, "id").join(low, "bucket")
     least = F.greatest("low", F.ceil(F.col("n") * percent / 100))
     held = held.where((F.col("m") * (100 + percent)) >= (F.col("n") + least) * percent)
-    held = held.select("bucket", "id", "n", F.col("m").alias("mass"), "weight", "keys", "comp")
+    held = cut(held.select("bucket", "id", "n", F.col("m").alias("mass"), "weight", "keys", "comp"), "held")
     open_ = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    return held.join(open_, "bucket", "left_semi")
+    return cut(held.join(open_, "bucket", "left_semi"), "live")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -101,11 +101,11 @@ def line_sets(text, k=5):
     return {text[i : i + k] for i in range(max(len(text) - k, 0) + 1)}
 
 
-def lines(docs, percent=80, least=24):
+def lines(docs, percent=80, least=1):
     where = defaultdict(list)
     for d, text in docs:
         for n, raw in enumerate((text or "").split("\n")):
-            line = raw.strip(" ")
+            line = raw.strip(" \t\r\f\v")
             if len(line) >= least:
                 where[line].append((d, n))
     names = sorted(where)

@@ -78,6 +78,12 @@ def test_exact_dedup_repeated_ids_and_empty(spark):
     assert exact_dedup.exact_dedup(frame(spark, ["a"]).where("false")).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_a_group(spark):
+    got = exact_dedup.exact_dedup(frame(spark, ["a", "a", "a", "b", "b", "c", "c"], [1, 1, None, None, None, 5, 6])).collect()
+    assert sorted((r.text_sha256[:2], r.group_size) for r in got if r.kept) == sorted({(r.text_sha256[:2], r.group_size) for r in got})
+    assert all(r.kept is not None for r in got) and [r.id for r in got if r.keep_id == 6 and r.kept] == [6]
+
+
 def test_chunks_concatenate(spark, corpus):
     long = "".join(random.Random(1).choice("abe \n") for _ in range(30_000)) + "x" * 9000
     df = frame(spark, [*corpus, long])
@@ -107,6 +113,13 @@ def test_decontamination_empty_sides(spark, corpus):
     assert decontaminate.decontaminate(frame(spark, corpus).where("false"), one).count() == 0
 
 
+def test_decontamination_of_repeated_and_missing_ids(spark):
+    item = "a b c d e f g h i j"
+    docs = [(1, "a b c d e f x y z q"), (1, "x y z q e f g h i j"), (None, item), (2, item), (2, item), (None, "a b c d e f g h i x")]
+    got = decontaminate.decontaminate(frame(spark, [t for _, t in docs], [i for i, _ in docs]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.id or 0, r.n_hit, r.contaminated) for r in got) == [(0, 0, False), (0, 10, True), (1, 0, False), (1, 0, False), (2, 10, True), (2, 10, True)]
+
+
 def test_minhash(spark, corpus):
     got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_dedup(frame(spark, corpus)).collect()}
     assert got == brute.near(list(enumerate(corpus)))
@@ -118,6 +131,31 @@ def test_minhash_edges(spark):
     assert minhash_dedup.near_dedup(frame(spark, ["a"]).where("false")).count() == 0
 
 
+def test_minhash_of_repeated_and_missing_ids(spark):
+    """60 ids with two texts each; every second text is a near copy of the next id's first one."""
+    rnd = random.Random(31)
+    base = [words(rnd, 40, 9999) for _ in range(61)]
+    docs = [(i, base[i]) for i in range(60)] + [(i, base[i + 1] + " end") for i in range(0, 60, 3)]
+    docs += [(None, base[7] + " other"), (None, "quite alone in all of this table"), (200, base[8]), (200, base[8])]
+    got = minhash_dedup.near_dedup(frame(spark, [t for _, t in docs], [i for i, _ in docs])).collect()
+    comp = {}
+    for r in got:
+        comp.setdefault(r.id, set()).add(r.component_id)
+    for i in range(0, 59, 3):
+        assert comp[i] == comp[i + 1] == {i}
+    assert comp[5] == {5} and comp[200] == {8} and comp[None] == {6, None} and not any(r.kept for r in got if r.id is None)
+
+
+def test_minhash_of_a_long_text(monkeypatch, corpus):
+    import pyarrow as pa
+
+    texts = [words(random.Random(2), 3000, 50), "x" * 5000 + " y z", corpus[8]]
+    want = [x[2].tolist() for t in texts for x in minhash_dedup.text_sets(pa.array([t]), 5)]
+    real = bytesops.stretches
+    monkeypatch.setattr(bytesops, "stretches", lambda d, o, s: real(d, o, s, 700))
+    assert [x[2].tolist() for t in texts for x in minhash_dedup.text_sets(pa.array([t]), 5)] == want
+
+
 def test_links_of_an_unlinked_crowd(spark):
     """One bucket of sets none of which link, one of a star: nothing is lost, nothing is invented."""
     sets = [(i, [i * 10 + k for k in range(10)]) for i in range(40)] + [(100 + i, [*range(5000, 5019), 6000 + i]) for i in range(30)]
@@ -254,8 +292,6 @@ def test_license_expressions():
     assert f("(a or b) and a") == [frozenset(["a"])]
     for bad in ("", "and", "a b", "(a", "a)", "a or", "(a or b) with e"):
         assert f(bad) is None
-    wide = " and ".join(f"(a{i} or b{i})" for i in range(12))
-    assert f(wide) == [frozenset(x for i in range(12) for x in (f"a{i}", f"b{i}"))]
 
 
 def test_best_license_alternative(spark):
@@ -271,15 +307,17 @@ def test_best_license_alternative(spark):
 
     for _ in range(300):
         text = make(3)
-        assert f(text) == every(text, 10**6)[0], text
+        assert f(text) == every(text)[0], text
     assert f(" and ".join(f"(a{i} or b{i})" for i in range(40))) == {f"a{i}" for i in range(40)}
     assert len(f(" and ".join(f"(a{i} or a{i + 1})" for i in range(40)))) == 20
     deep = "a"
     for i in range(800):
         deep = f"(x{i} {('and', 'or')[i % 2]} {deep})"
     assert f(deep) == {"x799"}
-    wide = "SPDX-License-Identifier: " + " and ".join(f"(a{i} or b{i})" for i in range(10))
-    assert license_scan.license_scan(frame(spark, [wide])).first().labels == ",".join(f"a{i}" for i in range(10))
+    wide = "SPDX-License-Identifier: " + " and ".join(f"(LicenseRef-a{i} or LicenseRef-b{i})" for i in range(10))
+    assert license_scan.license_scan(frame(spark, [wide])).first().labels == ",".join(f"licenseref-a{i}" for i in range(10))
+    names = ["mitre-x", "iscx", "MIT", "mit-0", "GPL-2.0+", "Apache-2.0", "never-heard", "cc-by-4.0", "0BSD"]
+    assert [license_scan.family(x.lower()) for x in names] == [None, None, "mit", "mit", "gpl", "apache", None, "cc-by", None]
 
 
 def test_url_filter(spark):
@@ -296,6 +334,16 @@ def test_url_filter(spark):
     assert none.where("blocked").count() == 0
 
 
+def test_url_filter_judges_captures_one_by_one(spark):
+    entries = spark.createDataFrame([("bad.org", "spam", "on", 1)], "rule string, category string, action string, at int")
+    rows = [(1, "http://bad.org/x", 5), (1, "http://good.org/x", 5), (None, "http://bad.org", 5), (None, "http://good.org", 5), (2, "http://bad.org", 0), (2, "http://bad.org", 9), (3, "http://bad.org", 3), (3, "http://bad.org", 3)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, fetched int"), entries).collect()
+    assert sorted((r.id or 0, r.host, r.blocked, r.n_rules) for r in got) == [
+        (0, "bad.org", True, 1), (0, "good.org", False, 0), (1, "bad.org", True, 1), (1, "good.org", False, 0),
+        (2, "bad.org", False, 0), (2, "bad.org", True, 1), (3, "bad.org", True, 1), (3, "bad.org", True, 1),
+    ]
+
+
 TEXTS = [None, "", " ", "Hello  world", "▁▁ x ▁", "tab\tnew\nline\r\n", "日本語 text é ñ \U0001f600", "\x00\x01 end ", "  lead", "a" * 3000, "aaaa " * 200, "<0x0A> <s>"]
 
 
@@ -443,6 +491,36 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.where("false")).count() == 0
 
 
+def test_line_dedup_recall_by_length(spark):
+    """Near pairs at 0.8 to 0.9 of every length class against brute force, across any word count."""
+    rnd = random.Random(77)
+    letters = "abcdefghijklmnopqrstuvwxyz  "
+    docs = []
+    for size in (9, 14, 22, 35, 60, 100, 160, 190, 400, 900):
+        for _ in range(40):
+            x = "".join(rnd.choice(letters) for _ in range(size)).strip() + "."
+            y = list(x)
+            for _ in range(max(size // 55, 1)):
+                at = rnd.choice([0, len(y) - 1]) if size < 50 else rnd.randrange(len(y))
+                y[at] = rnd.choice(["", "é", " and "[: rnd.randrange(1, 4)]])
+            docs += [x, "".join(y)]
+    want = brute.lines(list(enumerate(docs)))
+    got = {r.id: r.removed for r in line_dedup.line_dedup(frame(spark, docs)).collect()}
+    due, found = sum(map(len, want.values())), sum(len(set(got[i]) & set(want[i])) for i in want)
+    assert due > 200 and found >= 0.99 * due and sum(map(len, got.values())) == found
+
+
+def test_line_dedup_of_odd_rows(spark):
+    """White space around lines, rows without an id, columns with names of its own."""
+    rows = [(1, "same line\r\n\tsame line\nother", 5, "x"), (None, "same line", 6, "y"), (None, None, 7, None), (2, "\x0csame line ", 8, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed int, gone string")
+    verdicts = line_dedup.line_dedup(docs)
+    got = {(r.id, r.n_lines): r.removed for r in verdicts.collect()}
+    assert got == {(1, 3): [0, 1], (None, 1): [], (None, 0): [], (2, 1): [0]}
+    out = line_dedup.without_lines(docs, verdicts)
+    assert out.columns == docs.columns and sorted((r.removed, r.text) for r in out.collect() if r.text is not None) == [(5, "other"), (6, "same line"), (8, "")]
+
+
 def test_line_dedup_across_word_counts(spark):
     """Near lines of 15 and 16 words, and ones that spaces, length or repetition set apart."""
     rnd = random.Random(21)

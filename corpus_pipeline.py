@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from facetflow.llm.decontaminate import decontaminate
 from facetflow.llm.exact_dedup import exact_dedup
 from facetflow.llm.minhash_dedup import near_dedup
-from facetflow.llm.sentencepiece_codec import encode
+from facetflow.llm.sentencepiece_codec import with_pieces
 from facetflow.llm.toxicity import clean_rows
 from facetflow.plans.lineage import cut
 
@@ -41,13 +41,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays; of rows that repeat it, one."""
     out = keep(docs, exact_dedup(docs), "id", "kept")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.withColumn("same", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "same"]).drop("same")
+        same = "same"
+        while same in out.columns:
+            same += "_"
+        out = out.withColumn(same, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", same]).drop(same)
     return out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return keep(docs, near_dedup(docs), "id", "kept OR id IS NULL")
+    """One document of each group of near copies, alike to 0.8 or more, stays."""
+    return keep(docs, near_dedup(docs, percent=80), "id", "kept OR id IS NULL")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +60,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document that is left; decoding gives its text back."""
-    return encode(docs).withColumnRenamed("id", "doc_id")
+    """The pieces of every document that is left, behind all its columns; decoding gives its text back."""
+    return with_pieces(docs)
 
 
 STAGES = [

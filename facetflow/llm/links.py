@@ -27,7 +27,7 @@ from ..plans.components import connected_components
 from ..plans.lineage import Scratch
 
 #: Buckets of so many members, weighted by members, are tested in one round.
-FEW = 16
+FEW = 64
 
 
 def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rounds: int = 60) -> DataFrame:

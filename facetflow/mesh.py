@@ -14,7 +14,7 @@ VERTICES = T.StructType(
 FACES = T.StructType(
     [T.StructField("mesh_id", T.StringType()), T.StructField("fid", T.LongType()), T.StructField("vs", T.ArrayType(T.LongType()))]
 )
-#: Half-edge ids are ``fid * SLOTS + slot``: stable without any sort.
+#: Directed edge ids are ``fid * SLOTS + slot``: stable without any sort.
 SLOTS = 1 << 12
 
 
@@ -22,11 +22,11 @@ SLOTS = 1 << 12
 class Mesh:
     """Any number of meshes.  ``faces.vs`` is the source of truth for topology;
     vertex attributes are further columns of ``vertices``, face attributes of
-    ``faces``, and half-edge attributes a table of their own."""
+    ``faces``, and directed edge attributes a table of their own."""
 
     vertices: DataFrame
     faces: DataFrame
-    halfedge_attrs: DataFrame | None = None
+    dart_attrs: DataFrame | None = None
     _views: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
@@ -50,7 +50,7 @@ class Mesh:
         return cls(spark.createDataFrame([], VERTICES), spark.createDataFrame([], FACES))
 
     def with_vertices(self, vertices: DataFrame) -> "Mesh":
-        return Mesh(vertices, self.faces, self.halfedge_attrs)
+        return Mesh(vertices, self.faces, self.dart_attrs)
 
     def with_faces(self, faces: DataFrame) -> "Mesh":
         return Mesh(self.vertices, faces)
@@ -59,7 +59,7 @@ class Mesh:
         """Keep the derived views too; ``unpersist`` drops them (caches need no invalidation)."""
         self.vertices, self.faces = self.vertices.persist(), self.faces.persist()
         self._views = {}
-        self._views["halfedges"] = self.halfedges.persist()
+        self._views["darts"] = self.darts.persist()
         return self
 
     def unpersist(self) -> "Mesh":
@@ -75,7 +75,7 @@ class Mesh:
 
     @property
     def corners(self) -> DataFrame:
-        """One row per face corner: the interior half-edge src -> dst.
+        """One row per face corner: the interior directed edge src -> dst.
 
         ``opp`` is the remaining vertex of a triangle, else null.  No shuffle.
         """
@@ -99,7 +99,7 @@ class Mesh:
 
     @property
     def paired(self) -> DataFrame:
-        """Interior half-edges with ``twin`` (null on the border).
+        """Interior directed edges with ``twin`` (null on the border).
 
         One shuffle: both directions of an edge meet under its undirected key.
         A directed edge that occurs twice pairs with the smallest opposite id.
@@ -115,11 +115,11 @@ class Mesh:
         return self._view("paired", make)
 
     @property
-    def halfedges(self) -> DataFrame:
-        """All half-edges: interior ones, and a border row (fid null) per unpaired one.
+    def darts(self) -> DataFrame:
+        """All directed edges: interior ones, and a border row (fid null) per unpaired one.
 
-        A border half-edge has the id ``-heid - 1`` of its interior partner; its
-        successor is the border half-edge that starts at its tip.
+        A border directed edge has the id ``-heid - 1`` of its interior partner; its
+        successor is the border directed edge that starts at its tip.
         """
 
         def make():
@@ -138,11 +138,11 @@ class Mesh:
             )
             return inside.unionByName(outside)
 
-        return self._view("halfedges", make)
+        return self._view("darts", make)
 
     @property
     def edges(self) -> DataFrame:
-        """Undirected edges a < b: number of incident faces, smallest half-edge."""
+        """Undirected edges a < b: number of incident faces, smallest directed edge."""
 
         def make():
             return self.corners.groupBy("mesh_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
@@ -185,5 +185,5 @@ class Mesh:
         return self._view("triangles", make)
 
 
-def halfedge_id(fid, slot):
+def dart_id(fid, slot):
     return fid * SLOTS + slot

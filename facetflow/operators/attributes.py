@@ -1,7 +1,7 @@
 """Element attributes and selections: nullable columns and join-updates.
 
 Vertex attributes are columns of ``vertices``, face attributes of ``faces``;
-half-edge attributes live in ``halfedge_attrs`` by (mesh_id, heid).  A selection
+directed edge attributes live in ``dart_attrs`` by (mesh_id, heid).  A selection
 is a boolean column where null counts as false.
 """
 
@@ -14,7 +14,7 @@ from ..mesh import Mesh
 from ..plans.lineage import cut
 from .measure import face_geometry, vertex_normals
 
-KEYS = {"vertex": "vid", "face": "fid", "halfedge": "heid"}
+KEYS = {"vertex": "vid", "face": "fid", "dart": "heid"}
 #: Built-in attributes: element, columns and type.
 BUILTIN = {
     "vertex_normal": ("vertex", ("n_x", "n_y", "n_z"), "double"),
@@ -26,9 +26,9 @@ BUILTIN = {
     "face_selected": ("face", ("selected",), "boolean"),
     "face_color": ("face", ("c_r", "c_g", "c_b"), "double"),
     "face_opacity": ("face", ("opacity",), "double"),
-    "halfedge_selected": ("halfedge", ("selected",), "boolean"),
-    "halfedge_color": ("halfedge", ("c_r", "c_g", "c_b"), "double"),
-    "halfedge_thickness": ("halfedge", ("thickness",), "double"),
+    "dart_selected": ("dart", ("selected",), "boolean"),
+    "dart_color": ("dart", ("c_r", "c_g", "c_b"), "double"),
+    "dart_thickness": ("dart", ("thickness",), "double"),
 }
 
 
@@ -37,14 +37,14 @@ def table(mesh: Mesh, element: str) -> DataFrame:
         return mesh.vertices
     if element == "face":
         return mesh.faces
-    return mesh.halfedge_attrs if mesh.halfedge_attrs is not None else mesh.halfedges.select("mesh_id", "heid")
+    return mesh.dart_attrs if mesh.dart_attrs is not None else mesh.darts.select("mesh_id", "heid")
 
 
 def with_table(mesh: Mesh, element: str, df: DataFrame) -> Mesh:
     if element == "vertex":
-        return Mesh(df, mesh.faces, mesh.halfedge_attrs)
+        return Mesh(df, mesh.faces, mesh.dart_attrs)
     if element == "face":
-        return Mesh(mesh.vertices, df, mesh.halfedge_attrs)
+        return Mesh(mesh.vertices, df, mesh.dart_attrs)
     return Mesh(mesh.vertices, mesh.faces, df)
 
 
@@ -117,7 +117,7 @@ def populate_normals(mesh: Mesh) -> Mesh:
     n = vertex_normals(mesh).select("mesh_id", "vid", *(F.col("n" + k).alias("n_" + k) for k in "xyz"))
     f = face_geometry(mesh).select("mesh_id", "fid", *(F.col("n" + k).alias("n_" + k) for k in "xyz"))
     drop = [f"n_{k}" for k in "xyz"]
-    return Mesh(mesh.vertices.drop(*drop).join(n, ["mesh_id", "vid"], "left"), mesh.faces.drop(*drop).join(f, ["mesh_id", "fid"], "left"), mesh.halfedge_attrs)
+    return Mesh(mesh.vertices.drop(*drop).join(n, ["mesh_id", "vid"], "left"), mesh.faces.drop(*drop).join(f, ["mesh_id", "fid"], "left"), mesh.dart_attrs)
 
 
 def collect_vectors(mesh: Mesh, columns: list[str], default: float = 0.0) -> DataFrame:
@@ -172,32 +172,32 @@ def count_selected(mesh: Mesh, element: str) -> DataFrame:
     return table(mesh, element).groupBy("mesh_id").agg(F.sum(_is_on().cast("long")).alias("n"))
 
 
-def edge_twins(mesh: Mesh, halfedges: DataFrame) -> DataFrame:
-    """Both half-edges of the edges given by one of them."""
-    h = mesh.halfedges.select("mesh_id", "heid", "twin").join(halfedges.select("mesh_id", "heid").distinct(), ["mesh_id", "heid"], "left_semi")
+def edge_twins(mesh: Mesh, darts: DataFrame) -> DataFrame:
+    """Both directed edges of the edges given by one of them."""
+    h = mesh.darts.select("mesh_id", "heid", "twin").join(darts.select("mesh_id", "heid").distinct(), ["mesh_id", "heid"], "left_semi")
     return h.select("mesh_id", F.explode(F.array("heid", "twin")).alias("heid")).distinct()
 
 
-def select_edges(mesh: Mesh, halfedges: DataFrame, on: bool = True) -> Mesh:
-    return select(mesh, "halfedge", cut(edge_twins(mesh, halfedges), "twins"), on)
+def select_edges(mesh: Mesh, darts: DataFrame, on: bool = True) -> Mesh:
+    return select(mesh, "dart", cut(edge_twins(mesh, darts), "twins"), on)
 
 
 def selected_edges(mesh: Mesh) -> DataFrame:
-    """Each selected edge once, by its smaller half-edge id of interior faces first."""
-    s = selected_ids(mesh, "halfedge").join(mesh.halfedges.select("mesh_id", "heid", "src", "dst"), ["mesh_id", "heid"])
+    """Each selected edge once, by its smaller directed edge id of interior faces first."""
+    s = selected_ids(mesh, "dart").join(mesh.darts.select("mesh_id", "heid", "src", "dst"), ["mesh_id", "heid"])
     return s.groupBy("mesh_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("heid").alias("heid"))
 
 
 def set_edge_property(mesh: Mesh, name: str, values: DataFrame) -> Mesh:
-    """values: (mesh_id, heid, value); written to both half-edges."""
-    h = mesh.halfedges.select("mesh_id", "heid", "twin").join(values, ["mesh_id", "heid"])
+    """values: (mesh_id, heid, value); written to both directed edges."""
+    h = mesh.darts.select("mesh_id", "heid", "twin").join(values, ["mesh_id", "heid"])
     both = h.select("mesh_id", F.explode(F.array("heid", "twin")).alias("heid"), "value").groupBy("mesh_id", "heid").agg(F.first("value").alias("value"))
-    return set_property(mesh, "halfedge", name, both)
+    return set_property(mesh, "dart", name, both)
 
 
 def edge_property(mesh: Mesh, name: str) -> DataFrame:
-    """Value of an edge from either of its half-edges: (mesh_id, a, b, value)."""
-    h = table(mesh, "halfedge").select("mesh_id", "heid", F.col(name).alias("value")).join(mesh.halfedges.select("mesh_id", "heid", "src", "dst"), ["mesh_id", "heid"])
+    """Value of an edge from either of its directed edges: (mesh_id, a, b, value)."""
+    h = table(mesh, "dart").select("mesh_id", "heid", F.col(name).alias("value")).join(mesh.darts.select("mesh_id", "heid", "src", "dst"), ["mesh_id", "heid"])
     return h.groupBy("mesh_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("value").alias("value"))
 
 

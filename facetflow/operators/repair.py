@@ -21,7 +21,7 @@ def validate(mesh: Mesh) -> DataFrame:
 
     dangling_vertex: a face names a vertex that does not exist · repeated_vertex:
     a face names one twice · face_size: fewer than three corners ·
-    not_triangular · degenerate_face: collinear corners · duplicate_halfedge: a
+    not_triangular · degenerate_face: collinear corners · duplicate_dart: a
     directed edge twice, i.e. faces that disagree in orientation ·
     nonmanifold_edge: more than two faces · nonmanifold_vertex: more than one
     fan · isolated_vertex · duplicate_id.
@@ -39,7 +39,7 @@ def validate(mesh: Mesh) -> DataFrame:
     a, b, c = v.cols("a"), v.cols("b"), v.cols("c")
     add(mesh.triangles.where(pr.is_triangle_degenerate_3d(a, b, c)), "degenerate_face", "fid", F.lit("collinear"))
     twice = mesh.corners.groupBy("mesh_id", "src", "dst").agg(F.count("*").alias("n"), F.min("heid").alias("heid")).where("n > 1")
-    add(twice, "duplicate_halfedge", "heid", F.col("n"))
+    add(twice, "duplicate_dart", "heid", F.col("n"))
     add(mesh.edges.where("n_faces > 2"), "nonmanifold_edge", "heid", F.col("n_faces"))
     add(nonmanifold_vertices(mesh), "nonmanifold_vertex", "vid", F.col("n_fans"))
     add(mesh.vertices.join(used.select("mesh_id", "vid"), ["mesh_id", "vid"], "left_anti"), "isolated_vertex", "vid", F.lit(""))
@@ -52,7 +52,7 @@ def validate(mesh: Mesh) -> DataFrame:
 
 
 #: Kinds that break a manifold triangle mesh; the others are remarks.
-ERRORS = ("dangling_vertex", "repeated_vertex", "face_size", "not_triangular", "degenerate_face", "duplicate_halfedge", "nonmanifold_edge", "nonmanifold_vertex", "duplicate_id")
+ERRORS = ("dangling_vertex", "repeated_vertex", "face_size", "not_triangular", "degenerate_face", "duplicate_dart", "nonmanifold_edge", "nonmanifold_vertex", "duplicate_id")
 
 
 def check(mesh: Mesh) -> bool:

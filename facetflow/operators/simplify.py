@@ -80,7 +80,7 @@ def decimate_to_vertices(mesh: Mesh, target_vertices: int) -> Mesh:
 
 
 def target_length(mesh: Mesh) -> DataFrame:
-    """Mean edge length between the quartiles, per mesh, over half-edges."""
+    """Mean edge length between the quartiles, per mesh, over directed edges."""
     e = edge_lengths(mesh).withColumn("w", F.greatest(F.col("n_faces"), F.lit(2)))
     n = F.sum("w").over(W.partitionBy("mesh_id"))
     end = F.sum("w").over(W.partitionBy("mesh_id").orderBy("length", "a", "b"))

@@ -11,7 +11,7 @@ from ..plans.lineage import cut
 
 
 def counts(mesh: Mesh) -> DataFrame:
-    """Vertices, faces, half-edges (border ones included), edges, χ and genus per mesh.
+    """Vertices, faces, directed edges (border ones included), edges, χ and genus per mesh.
 
     χ = V - E + F over undirected edges; genus = (2 - χ) div 2, which says
     something for closed meshes only.
@@ -21,7 +21,7 @@ def counts(mesh: Mesh) -> DataFrame:
     e = mesh.edges.groupBy("mesh_id").agg(
         F.count("*").alias("n_edges"),
         F.sum(F.when(F.col("n_faces") == 1, 1).otherwise(0)).alias("n_border_edges"),
-        F.sum(F.greatest(F.col("n_faces"), F.lit(2))).alias("n_halfedges"),
+        F.sum(F.greatest(F.col("n_faces"), F.lit(2))).alias("n_darts"),
     )
     out = v.join(f, "mesh_id", "left").join(e, "mesh_id", "left").fillna(0)
     chi = F.col("n_vertices") - F.col("n_edges") + F.col("n_faces")
@@ -55,12 +55,12 @@ def vertex_edges(mesh: Mesh) -> DataFrame:
     return e.select("mesh_id", F.explode(F.array("a", "b")).alias("vid"), "a", "b")
 
 
-def vertex_halfedges(mesh: Mesh) -> DataFrame:
-    """Outgoing half-edges of every vertex, as a set."""
-    return mesh.halfedges.select("mesh_id", F.col("src").alias("vid"), "heid", "fid", "dst")
+def vertex_darts(mesh: Mesh) -> DataFrame:
+    """Outgoing directed edges of every vertex, as a set."""
+    return mesh.darts.select("mesh_id", F.col("src").alias("vid"), "heid", "fid", "dst")
 
 
-def face_halfedges(mesh: Mesh) -> DataFrame:
+def face_darts(mesh: Mesh) -> DataFrame:
     return mesh.corners.select("mesh_id", "fid", "slot", "heid", "src", "dst")
 
 
@@ -71,11 +71,11 @@ def face_vertices(mesh: Mesh) -> DataFrame:
 
 
 def vertex_rings(mesh: Mesh, max_rounds: int = 64) -> DataFrame:
-    """Outgoing half-edges in counter-clockwise order: (mesh_id, vid, hop, heid).
+    """Outgoing directed edges in counter-clockwise order: (mesh_id, vid, hop, heid).
 
     The order is a rank along ``ccw = prev.twin``, found by pointer doubling:
     log2(valence) joins, whatever the valence.  Open fans start at the
-    clockwise-most half-edge, closed ones at the smallest id.
+    clockwise-most directed edge, closed ones at the smallest id.
     """
     inner = mesh.paired.select("mesh_id", "heid", "src", "prev", "twin")
     prev_twin = mesh.paired.select("mesh_id", F.col("heid").alias("prev"), F.col("twin").alias("ccw"))
@@ -133,8 +133,8 @@ def k_ring(mesh: Mesh, seeds: DataFrame, k: int) -> DataFrame:
     return k_disk(mesh, seeds, k).where(F.col("hop") == k)
 
 
-def border_halfedges(mesh: Mesh) -> DataFrame:
-    """Interior half-edges without a twin: (mesh_id, heid, src, dst)."""
+def border_darts(mesh: Mesh) -> DataFrame:
+    """Interior directed edges without a twin: (mesh_id, heid, src, dst)."""
     return mesh.edges.where("n_faces = 1").join(mesh.corners.select("mesh_id", "heid", "src", "dst"), ["mesh_id", "heid"]).select("mesh_id", "heid", "src", "dst")
 
 
@@ -144,19 +144,19 @@ def border_vertices(mesh: Mesh) -> DataFrame:
 
 
 def is_closed(mesh: Mesh) -> DataFrame:
-    """Strict: every directed half-edge has its twin; one row per mesh."""
+    """Strict: every directed directed edge has its twin; one row per mesh."""
     open_ = mesh.paired.groupBy("mesh_id").agg(F.max(F.col("twin").isNull().cast("int")).alias("o"))
     ids = mesh.vertices.select("mesh_id").distinct()
     return ids.join(open_, "mesh_id", "left").select("mesh_id", (F.coalesce("o", F.lit(0)) == 0).alias("is_closed"))
 
 
 def border_loops(mesh: Mesh, max_rounds: int = 64) -> DataFrame:
-    """Border half-edges with loop and rank: (mesh_id, loop, hop, heid, src, dst).
+    """Border directed edges with loop and rank: (mesh_id, loop, hop, heid, src, dst).
 
     loop = smallest border id; rank counts from it along ``next``.  The loop is
-    a component of border half-edges, the rank comes from pointer doubling.
+    a component of border directed edges, the rank comes from pointer doubling.
     """
-    rim = mesh.halfedges.where("fid IS NULL").select("mesh_id", "heid", "src", "dst", "next")
+    rim = mesh.darts.where("fid IS NULL").select("mesh_id", "heid", "src", "dst", "next")
     key = lambda c: F.struct(F.col("mesh_id").alias("m"), F.col(c).alias("h"))
     comps = connected_components(rim.select(key("heid").alias("a"), F.coalesce(key("next"), key("heid")).alias("b")))
     rim = rim.join(comps.select(F.col("id.m").alias("mesh_id"), F.col("id.h").alias("heid"), F.col("component.h").alias("loop")), ["mesh_id", "heid"])

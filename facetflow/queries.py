@@ -56,15 +56,15 @@ def rr(x: str, name: str, n: int = 4) -> str:
 
 
 @query("""SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM f) AS n_faces, count(*) AS n_edges,
- CAST(sum(CASE WHEN n_faces = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_border_edges, CAST(sum(greatest(n_faces, 2)) AS BIGINT) AS n_halfedges,
+ CAST(sum(CASE WHEN n_faces = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_border_edges, CAST(sum(greatest(n_faces, 2)) AS BIGINT) AS n_darts,
  (SELECT count(*) FROM v) - count(*) + (SELECT count(*) FROM f) AS euler, (2 - ((SELECT count(*) FROM v) - count(*) + (SELECT count(*) FROM f))) // 2 AS genus FROM e""")
 def mesh_counts(spark, sf):
     return topology.counts(terrain(spark, sf)).drop("mesh_id")
 
 
 @query("SELECT src, dst FROM h WHERE NOT EXISTS (SELECT 1 FROM h t WHERE t.src = h.dst AND t.dst = h.src)")
-def border_halfedges(spark, sf):
-    return topology.border_halfedges(terrain(spark, sf)).select("src", "dst")
+def border_darts(spark, sf):
+    return topology.border_darts(terrain(spark, sf)).select("src", "dst")
 
 
 @query("SELECT a, b, CAST(n_faces AS INT) AS n_faces FROM e")
@@ -74,7 +74,7 @@ def undirected_edges(spark, sf):
 
 @query(f"""SELECT h.fid * {SLOTS} + h.slot AS heid, h.src, h.dst, h.opp, h.fid * {SLOTS} + (h.slot + 1) % 3 AS next, h.fid * {SLOTS} + (h.slot + 2) % 3 AS prev, t.fid * {SLOTS} + t.slot AS twin
  FROM h LEFT JOIN h t ON t.src = h.dst AND t.dst = h.src""")
-def interior_halfedges(spark, sf):
+def interior_darts(spark, sf):
     return terrain(spark, sf).paired.select("heid", "src", "dst", "opp", "next", "prev", "twin")
 
 
@@ -82,7 +82,7 @@ def interior_halfedges(spark, sf):
  -(n.fid * {SLOTS} + n.slot) - 1 AS next FROM h JOIN h n ON n.dst = h.src
  WHERE NOT EXISTS (SELECT 1 FROM h t WHERE t.src = h.dst AND t.dst = h.src) AND NOT EXISTS (SELECT 1 FROM h t WHERE t.src = n.dst AND t.dst = n.src)""")
 def border_successors(spark, sf):
-    return terrain(spark, sf).halfedges.where("fid IS NULL").select("heid", "src", "dst", "next")
+    return terrain(spark, sf).darts.where("fid IS NULL").select("heid", "src", "dst", "next")
 
 
 @query("SELECT valence, count(*) AS n FROM (SELECT v.vid, count(adj.dst) AS valence FROM v LEFT JOIN adj ON adj.src = v.vid GROUP BY v.vid) GROUP BY valence")
@@ -585,7 +585,7 @@ def selection_algebra(spark, sf):
 @query("SELECT a, b FROM e WHERE a % 11 = 0 AND b = a + 1")
 def edge_selection(spark, sf):
     mesh = terrain(spark, sf)
-    some = mesh.halfedges.where("least(src, dst) % 11 = 0 AND greatest(src, dst) = least(src, dst) + 1 AND src < dst")
+    some = mesh.darts.where("least(src, dst) % 11 = 0 AND greatest(src, dst) = least(src, dst) + 1 AND src < dst")
     return attributes.selected_edges(attributes.select_edges(mesh, some)).select("a", "b")
 
 
@@ -600,10 +600,10 @@ def face_opacity(spark, sf):
 @query(""", hh AS (SELECT h.src AS s0, h.dst AS d0, t.fid AS tf, t.slot AS ts FROM h LEFT JOIN h t ON t.src = h.dst AND t.dst = h.src)
 SELECT s0, d0, n.dst AS reached FROM hh JOIN h n ON n.fid = tf AND n.slot = (ts + 1) % 3""")
 def rotate_clockwise(spark, sf):
-    """dst(next(twin(h))) of every interior half-edge with a twin."""
+    """dst(next(twin(h))) of every interior directed edge with a twin."""
     mesh = terrain(spark, sf)
     start = mesh.paired.where("twin IS NOT NULL").select("mesh_id", "heid")
-    got = navigate.MeshQuery.halfedges(mesh, start).cw_rotated().dst_vert().run().select(F.col("start").alias("heid"), F.col("at").alias("reached"))
+    got = navigate.MeshQuery.darts(mesh, start).cw_rotated().dst_vert().run().select(F.col("start").alias("heid"), F.col("at").alias("reached"))
     return mesh.paired.select("heid", "src", "dst").join(got, "heid").select(F.col("src").alias("s0"), F.col("dst").alias("d0"), "reached")
 
 

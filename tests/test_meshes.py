@@ -59,7 +59,7 @@ def test_cube_measures(cube):
     assert measure.surface_area(cube).first().area == pytest.approx(6)
     assert measure.volume(cube).first().volume == pytest.approx(1)
     c = topology.counts(cube).first()
-    assert (c.n_vertices, c.n_edges, c.n_faces, c.euler, c.genus, c.n_halfedges) == (8, 18, 12, 2, 0, 36)
+    assert (c.n_vertices, c.n_edges, c.n_faces, c.euler, c.genus, c.n_darts) == (8, 18, 12, 2, 0, 36)
     assert repair.check(cube)
 
 
@@ -76,7 +76,7 @@ def test_icosphere(spark, ico):
 def test_unit_triangle(triangle):
     g = measure.face_geometry(triangle).first()
     assert g.area == pytest.approx(0.5) and (g.nx, g.ny, g.nz) == pytest.approx((0, 0, 1)) and g.min_angle == pytest.approx(math.pi / 4)
-    assert triangle.halfedges.where("fid IS NULL").count() == 3
+    assert triangle.darts.where("fid IS NULL").count() == 3
     assert not topology.is_closed(triangle).first().is_closed
 
 
@@ -129,7 +129,7 @@ def test_validation_finds_faults(spark):
     m = Mesh.from_lists(spark, pts, [[0, 1, 2], [0, 1, 3], [0, 1, 3], [1, 1, 3], [0, 1, 2, 3]])
     m = m.with_faces(m.faces.unionByName(spark.createDataFrame([("m", 9, [0, 1, 99])], m.faces.schema)))
     kinds = {x.kind for x in repair.validate(m).select("kind").distinct().collect()}
-    assert {"dangling_vertex", "repeated_vertex", "not_triangular", "degenerate_face", "duplicate_halfedge", "nonmanifold_edge", "isolated_vertex"} <= kinds
+    assert {"dangling_vertex", "repeated_vertex", "not_triangular", "degenerate_face", "duplicate_dart", "nonmanifold_edge", "isolated_vertex"} <= kinds
     assert not repair.check(m) and repair.first_error(m) is not None
 
 
@@ -374,14 +374,14 @@ def test_attributes(cube):
     n = attributes.populate_normals(cube)
     assert n.faces.where("n_x IS NULL").count() == 0
     e = attributes.select_edges(cube, cube.corners.where("heid = 0"))
-    assert attributes.count_selected(e, "halfedge").first().n == 2 and attributes.selected_edges(e).count() == 1
+    assert attributes.count_selected(e, "dart").first().n == 2 and attributes.selected_edges(e).count() == 1
 
 
 def test_navigation(cube):
-    q = navigate.MeshQuery.halfedges(cube)
+    q = navigate.MeshQuery.darts(cube)
     back = q.ccw_rotated().cw_rotated().run()
     assert back.where("start <> at").count() == 0
-    assert navigate.MeshQuery.faces(cube).halfedge().face().run().where("start <> at").count() == 0
+    assert navigate.MeshQuery.faces(cube).dart().face().run().where("start <> at").count() == 0
     with pytest.raises(TypeError):
         navigate.MeshQuery.vertices(cube).twin()
 

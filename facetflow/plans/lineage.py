@@ -15,8 +15,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor the context names one (tests on a single
-    machine) a temporary folder is made and set.
+    Only where neither the setting nor the context names one and all executors run
+    in this process (tests) a temporary folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -24,6 +24,8 @@ def scratch_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="facetflow-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()

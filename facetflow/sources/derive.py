@@ -65,7 +65,7 @@ TERRAIN_SQL = """dim AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM
 v AS (SELECT o_orderkey AS vid, CAST(o_orderkey % n AS DOUBLE) AS x, CAST(floor(o_orderkey / n) AS DOUBLE) AS y, o_totalprice / 100000.0 AS z, n FROM orders, dim WHERE o_orderkey < n * n),
 q AS (SELECT vid AS a, n FROM v WHERE x < n - 1 AND y < n - 1),
 f AS (SELECT 2 * a AS fid, a AS v0, a + 1 AS v1, a + n AS v2 FROM q UNION ALL SELECT 2 * a + 1, a + n, a + 1, a + n + 1 FROM q),
-h AS (SELECT fid, 0 AS slot, v0 AS src, v1 AS dst, v2 AS opp FROM f UNION ALL SELECT fid, 1, v1, v2, v0 FROM f UNION ALL SELECT fid, 2, v2, v0, v1 FROM f),
+h AS MATERIALIZED (SELECT fid, 0 AS slot, v0 AS src, v1 AS dst, v2 AS opp FROM f UNION ALL SELECT fid, 1, v1, v2, v0 FROM f UNION ALL SELECT fid, 2, v2, v0, v1 FROM f),
 e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n_faces FROM h GROUP BY 1, 2),
 adj AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e),
 t AS (SELECT f.*, p.x AS ax, p.y AS ay, p.z AS az, q1.x AS bx, q1.y AS by_, q1.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz

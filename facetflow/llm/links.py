@@ -20,6 +20,8 @@ mass allows the link.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,13 @@ from ..plans.lineage import Scratch
 FEW = 64
 
 
-def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rounds: int = 60) -> DataFrame:
+def linked_components(members: DataFrame, sets: DataFrame | Callable, percent: int, max_rounds: int = 60, check: Callable | None = None) -> DataFrame:
     """``(id, component)`` for the ids of ``members`` that share a bucket with another.
 
-    members: ``(bucket, id, n)`` with n the set's size.  sets: ``(id, items)``.
-    Two ids are linked if ``100 * intersection >= percent * union``.
+    members: ``(bucket, id, n)`` with n the set's size.  sets: ``(id, items)``, or
+    a function from a table of ids to it.  Two ids are linked if ``100 *
+    intersection >= percent * union``; ``check`` may replace the test of pairs
+    ``(a, b, ca, cb)`` where sets are larger than what they are made from.
     """
     scratch = Scratch(members.sparkSession)
     cut = scratch.cut
@@ -44,6 +48,8 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
     live = held.join(weight, "id").select("bucket", "id", "n", F.col("n").alias("mass"), "weight", "keys", F.col("id").alias("comp"))
     live = cut(live, "live")
     labels = cut(live.select("id", "comp").distinct(), "labels")
+    of = sets if callable(sets) else lambda ids: sets.join(ids, "id", "left_semi")
+    check = check or (lambda pairs: verify(pairs, sets, percent))
     tested: list[DataFrame] = []
     slots = 1
     for _ in range(max_rounds):
@@ -72,7 +78,7 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
         for known in tested:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
-        linked = cut(verify(pairs, sets, percent), "links")
+        linked = cut(check(pairs), "links")
         tested.append(pairs)
         left = live.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         if not linked.isEmpty():
@@ -89,7 +95,7 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
         if size["all"] <= FEW * size["rows"]:
             slots = 1 << 30
         else:
-            live = feasible(live, sets, percent, cut)
+            live = feasible(live, of, percent, cut)
             slots *= 8
     else:
         raise RuntimeError(f"buckets did not settle in {max_rounds} rounds")
@@ -97,10 +103,10 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, max_rou
     return labels.withColumnRenamed("comp", "component")
 
 
-def feasible(live: DataFrame, sets: DataFrame, percent: int, cut) -> DataFrame:
+def feasible(live: DataFrame, of: Callable, percent: int, cut) -> DataFrame:
     """Members that can still have a partner in another component of their bucket."""
     ids = live.select("id").distinct()
-    items = cut(sets.join(ids, "id", "left_semi").select("id", F.explode("items").alias("item")), "items")
+    items = cut(of(ids).select("id", F.explode("items").alias("item")), "items")
     shared = items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1").select("item")
     mass = items.join(shared, "item", "left_semi").groupBy("id").agg(F.count("*").alias("m"))
     low = live.groupBy("bucket").agg(F.min("n").alias("low"))

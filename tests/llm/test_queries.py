@@ -76,7 +76,7 @@ def test_pipeline_against_its_parts(spark, sf):
     for i, t in held:
         last[t or ""] = max(i, last.get(t or "", -1))
     held = [(i, t) for i, t in held if last[t or ""] == i]
-    near = brute.near(held)
+    near = brute.near(held, 80)
     held = [(i, t) for i, t in held if near[i][2]]
     dirty = brute.decontaminate(held, [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
     want = {i for i, _ in held if not dirty[i][4]}

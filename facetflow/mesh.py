@@ -77,11 +77,14 @@ class Mesh:
     def corners(self) -> DataFrame:
         """One row per face corner: the interior directed edge src -> dst.
 
-        ``opp`` is the remaining vertex of a triangle, else null.  No shuffle.
+        ``opp`` is the remaining vertex of a triangle, else null.  No shuffle.  A
+        face of more than ``SLOTS`` corners raises once its ids are asked for.
         """
 
         def make():
             c = self.faces.where(F.size("vs") >= 3).select("mesh_id", "fid", "vs", F.size("vs").alias("n"), F.posexplode("vs").alias("slot", "src"))
+            # ids of a larger polygon would run into those of the next face
+            first = F.when(F.col("n") <= SLOTS, F.col("fid") * SLOTS).otherwise(F.raise_error(F.lit(f"a face has more than {SLOTS} corners; triangulate it first")))
             return c.select(
                 "mesh_id",
                 "fid",
@@ -90,9 +93,9 @@ class Mesh:
                 "src",
                 F.expr("vs[(slot + 1) % n]").alias("dst"),
                 F.expr("CASE WHEN n = 3 THEN vs[(slot + 2) % 3] END").alias("opp"),
-                (F.col("fid") * SLOTS + F.col("slot")).alias("heid"),
-                (F.col("fid") * SLOTS + F.expr("(slot + 1) % n")).alias("next"),
-                (F.col("fid") * SLOTS + F.expr("(slot + n - 1) % n")).alias("prev"),
+                (first + F.col("slot")).alias("heid"),
+                (first + F.expr("(slot + 1) % n")).alias("next"),
+                (first + F.expr("(slot + n - 1) % n")).alias("prev"),
             )
 
         return self._view("corners", make)

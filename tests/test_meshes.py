@@ -395,3 +395,11 @@ def test_streaming(spark, tmp_path):
     t.write.parquet(str(tmp_path / "in"))
     got = measures.run_once(measures.windowed_area(measures.triangle_stream(spark, str(tmp_path / "in"))), "areas", "complete", str(tmp_path / "ck"))
     assert sorted(x.area for x in got.collect()) == pytest.approx([5.0, 5.0, 5.0])
+
+
+def test_a_polygon_of_too_many_corners_raises(spark):
+    vertices = spark.range(5000).selectExpr("'m' AS mesh_id", "id AS vid", "cos(id) AS x", "sin(id) AS y", "0D AS z")
+    face = lambda n: Mesh(vertices, spark.createDataFrame([("m", 0, list(range(n)))], "mesh_id string, fid long, vs array<long>"))
+    assert face(4096).corners.select("heid").distinct().count() == 4096
+    with pytest.raises(Exception, match="more than 4096 corners"):
+        face(4097).corners.select("heid").collect()

@@ -510,6 +510,22 @@ def test_line_dedup_recall_by_length(spark):
     assert due > 200 and found >= 0.99 * due and sum(map(len, got.values())) == found
 
 
+def test_line_dedup_of_families_that_share_buckets(spark):
+    """Chains of edited lines, two to nine of them: many buckets hold the same lines, others only some of them."""
+    rnd = random.Random(5)
+    docs = []
+    for size in range(2, 10):
+        for _ in range(4):
+            line = [rnd.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(300)]
+            for _ in range(size):
+                docs.append("x" + "".join(line) + "x")
+                line[rnd.randrange(300)] = "#"
+    rnd.shuffle(docs)
+    want = brute.lines(list(enumerate(docs)))
+    got = {r.id: r.removed for r in line_dedup.line_dedup(frame(spark, docs)).collect()}
+    assert got == {i: list(want[i]) for i in want} and sum(map(len, got.values())) == len(docs) - 32
+
+
 def test_line_dedup_of_odd_rows(spark):
     """White space around lines, rows without an id, columns with names of its own."""
     rows = [(1, "same line\r\n\tsame line\nother", 5, "x"), (None, "same line", 6, "y"), (None, None, 7, None), (2, "\x0csame line ", 8, "z")]

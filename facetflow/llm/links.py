@@ -21,6 +21,7 @@ mass allows the link.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +76,8 @@ def linked_components(members: DataFrame, sets: DataFrame | Callable, percent: i
             F.when(first, F.col("comp")).otherwise(F.col("hc")).alias("ca"),
             F.when(first, F.col("hc")).otherwise(F.col("comp")).alias("cb"),
         ).distinct()
-        for known in tested:
+        if tested:
+            known = reduce(DataFrame.unionByName, tested)
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         linked = cut(check(pairs), "links")

@@ -79,8 +79,8 @@ def orient2d(a: P2, b: P2, c: P2, exact: bool = True) -> Column:
 def orient3d(a: P3, b: P3, c: P3, d: P3, exact: bool = True) -> Column:
     """Six times the signed volume; positive if d lies below the plane abc (ccw from above)."""
     (ax, ay, az), (bx, by, bz), (cx, cy, cz) = (tuple(p - q for p, q in zip(x, d)) for x in (a, b, c))
-    det = az * (bx * cy - cx * by) + bz * (cx * ay - ax * cy) + cz * (ax * by - bx * ay)
-    permanent = (F.abs(bx * cy) + F.abs(cx * by)) * F.abs(az) + (F.abs(cx * ay) + F.abs(ax * cy)) * F.abs(bz) + (F.abs(ax * by) + F.abs(bx * ay)) * F.abs(cz)
+    det = ax * (by * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by * cx)
+    permanent = (F.abs(by * cz) + F.abs(bz * cy)) * F.abs(ax) + (F.abs(bz * cx) + F.abs(bx * cz)) * F.abs(ay) + (F.abs(bx * cy) + F.abs(by * cx)) * F.abs(az)
     return _filtered(det, permanent, O3D_BOUND, (a, b, c, d), exact=exact)
 
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from facetflow.functions import predicates
+from facetflow.functions import vec3 as v
 from facetflow.functions.polygons import ear_clip
 from facetflow.functions.trimesh import TriMesh
 from facetflow.mesh import Mesh
@@ -403,3 +405,11 @@ def test_a_polygon_of_too_many_corners_raises(spark):
     assert face(4096).corners.select("heid").distinct().count() == 4096
     with pytest.raises(Exception, match="more than 4096 corners"):
         face(4097).corners.select("heid").collect()
+
+
+def test_orient3d_is_expanded_by_rows_as_the_sql_of_its_query(spark):
+    # one triangle of the terrain whose determinant lies on a half of the third digit
+    t = spark.createDataFrame([(69.0, 103.0, 4.6486674, 70.0, 102.0, 0.938282, 70.0, 103.0, 3.689362)], "ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+    ax, ay, az, bx, by, bz, cx, cy, cz = t.first()
+    want = ax * (by * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by * cx)
+    assert t.select(predicates.orient3d(v.cols("a"), v.cols("b"), v.cols("c"), v.lit(0, 0, 0)).alias("d")).first().d == want

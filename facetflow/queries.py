@@ -48,6 +48,12 @@ def rounded(df: DataFrame, n: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*((r(c, n).alias(c) if t == "double" and c not in keep else F.col(c)) for c, t in df.dtypes if c != "mesh_id"))
 
 
+def halves(col, n: int):
+    """Rounded as DuckDB rounds: a half of the product, not of the shortest decimal, goes away from zero."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.round(col * F.lit(10.0**n)) / F.lit(10.0**n) + F.lit(0.0)
+
+
 def rr(x: str, name: str, n: int = 4) -> str:
     return f"round({x}, {n}) + 0.0 AS {name}"
 
@@ -470,7 +476,8 @@ EVEN = ", ".join(f"CASE WHEN nr = 2 THEN v.{c} * 0.75 + r{c} * 0.125 WHEN nr > 0
 
 @query(EDGE4 + NB + f", lv AS (SELECT v.vid, {EVEN} FROM v JOIN nb ON nb.vid = v.vid UNION ALL SELECT vid, x, y, z FROM em) SELECT {POS} FROM lv")
 def loop_subdivision_points(spark, sf):
-    return rounded(refine.loop_subdivide(terrain(spark, sf)).vertices, 5)
+    m = refine.loop_subdivide(terrain(spark, sf))
+    return m.vertices.select("vid", *(halves(c, 5).alias(c) for c in "xyz"))
 
 
 @query(EDGE4 + """, lf AS (SELECT fid, v0, v1, v2, m0.vid AS m0, m1.vid AS m1, m2.vid AS m2 FROM f JOIN em m0 ON m0.a = least(v0, v1) AND m0.b = greatest(v0, v1) JOIN em m1 ON m1.a = least(v1, v2) AND m1.b = greatest(v1, v2) JOIN em m2 ON m2.a = least(v2, v0) AND m2.b = greatest(v2, v0))

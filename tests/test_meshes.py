@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from facetflow import queries
 from facetflow.functions import predicates
 from facetflow.functions import vec3 as v
 from facetflow.functions.polygons import ear_clip
@@ -413,3 +414,20 @@ def test_orient3d_is_expanded_by_rows_as_the_sql_of_its_query(spark):
     ax, ay, az, bx, by, bz, cx, cy, cz = t.first()
     want = ax * (by * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by * cx)
     assert t.select(predicates.orient3d(v.cols("a"), v.cols("b"), v.cols("c"), v.lit(0, 0, 0)).alias("d")).first().d == want
+
+
+def uneven_fan(spark):
+    """A closed fan of six whose rim's heights cancel: a plain sum loses the small ones."""
+    rim = [(math.cos(i * math.pi / 3), math.sin(i * math.pi / 3), z) for i, z in enumerate([1e16, 1.0, 3.0, -1e16, 1.0, 1.0])]
+    return Mesh.from_lists(spark, [(0.0, 0.0, 0.0), *rim], [[0, i + 1, (i + 1) % 6 + 1] for i in range(6)])
+
+
+def test_loop_even_rule_sums_the_same_in_any_order(spark):
+    got = refine.loop_subdivide(uneven_fan(spark)).vertices.where("vid = 0").first().z
+    assert got == pytest.approx(6.0 / 16)
+
+
+def test_queries_round_halves_as_duckdb_does(spark, duck):
+    xs = [3.2118349999999998, 2.404565, -3.2118349999999998, 0.5, 0.0, -0.0]
+    got = [r.y for r in spark.createDataFrame([(x,) for x in xs], "x double").select(queries.halves("x", 5).alias("y")).collect()]
+    assert got == [duck.sql(f"SELECT round({x!r}::DOUBLE, 5) + 0.0").fetchall()[0][0] for x in xs]

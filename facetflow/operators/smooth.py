@@ -15,7 +15,8 @@ EVERY = 3
 
 def ring_mean(mesh: Mesh) -> DataFrame:
     """Mean of the neighbours; an isolated vertex is its own mean."""
-    m = mesh.adjacency.join(mesh.points("dst", "q"), ["mesh_id", "dst"]).groupBy("mesh_id", F.col("src").alias("vid")).agg(*(F.avg("q" + k).alias("m" + k) for k in "xyz"))
+    m = mesh.adjacency.join(mesh.points("dst", "q"), ["mesh_id", "dst"]).groupBy("mesh_id", F.col("src").alias("vid")).agg(*(F.collect_list("q" + k).alias("q" + k) for k in "xyz"))
+    m = m.select("mesh_id", "vid", *((v.even_sum(F.col("q" + k)) / F.size("q" + k)).alias("m" + k) for k in "xyz"))
     return mesh.vertices.join(m, ["mesh_id", "vid"], "left").select("mesh_id", "vid", *(F.coalesce("m" + k, k).alias("m" + k) for k in "xyz"))
 
 

@@ -431,3 +431,8 @@ def test_queries_round_halves_as_duckdb_does(spark, duck):
     xs = [3.2118349999999998, 2.404565, -3.2118349999999998, 0.5, 0.0, -0.0]
     got = [r.y for r in spark.createDataFrame([(x,) for x in xs], "x double").select(queries.halves("x", 5).alias("y")).collect()]
     assert got == [duck.sql(f"SELECT round({x!r}::DOUBLE, 5) + 0.0").fetchall()[0][0] for x in xs]
+
+
+def test_ring_mean_sums_the_same_in_any_order(spark):
+    got = smooth.ring_mean(uneven_fan(spark)).where("vid = 0").first().mz
+    assert got == 1.0

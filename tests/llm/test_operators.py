@@ -526,6 +526,35 @@ def test_line_dedup_of_families_that_share_buckets(spark):
     assert got == {i: list(want[i]) for i in want} and sum(map(len, got.values())) == len(docs) - 32
 
 
+def test_line_dedup_pairs_of_a_family(spark, monkeypatch):
+    """Lines that share buckets but not enough text are not paired; the links among them are found all the same."""
+    rnd = random.Random(9)
+    base = [rnd.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(300)]
+
+    def edited(line, count):
+        line = list(line)
+        for at in rnd.sample(range(1, 300), count):
+            line[at] = rnd.choice("0123456789")
+        return "".join(line)
+
+    docs = [edited(["x", *base, "x"], 8) for _ in range(120)]
+    docs += [edited(x, 1) for x in docs[:20]]
+    made, inner = [], line_dedup.linked_components
+
+    def watched(members, sets, percent, check):
+        def counted(pairs):
+            made.append(pairs.count())
+            return check(pairs)
+
+        return inner(members, sets, percent, check=counted)
+
+    monkeypatch.setattr(line_dedup, "linked_components", watched)
+    want = brute.lines(list(enumerate(docs)))
+    got = {r.id: r.removed for r in line_dedup.line_dedup(frame(spark, docs)).collect()}
+    assert got == {i: list(want[i]) for i in want} and sum(map(len, got.values())) >= 20
+    assert sum(made) < 200
+
+
 def test_line_dedup_of_odd_rows(spark):
     """White space around lines, rows without an id, columns with names of its own."""
     rows = [(1, "same line\r\n\tsame line\nother", 5, "x"), (None, "same line", 6, "y"), (None, None, 7, None), (2, "\x0csame line ", 8, "z")]

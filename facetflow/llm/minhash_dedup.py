@@ -33,7 +33,7 @@ from . import bytesops as B
 from .links import linked_components
 
 UNIVERSE = 1 << 20
-#: Ids to fetch sets for may be broadcast up to this many (16 bytes each).
+#: Ids, buckets and components may be broadcast up to this many (40 bytes each).
 BROADCAST_IDS = 200_000
 
 
@@ -135,6 +135,11 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """Broadcast ``df`` only if it is counted and below the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -154,28 +159,30 @@ def near_dedup(
     signed = texts.select("id", "text", "t").mapInArrow(sign_batches(k, bands, rows), "id long, t long, n long, k1 long, k2 long, bands array<long>")
     signed = cut(signed, "signed")
     # nodes are distinct sets; equal sets have equal bands
-    nodes = signed.where("n > 0").select(F.struct("k1", "k2").alias("node"), "id", "t", "n", "bands")
-    members = nodes.select("node", "n", F.explode("bands").alias("bucket")).distinct()
-    crowd = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    shared = cut(members.join(crowd, "bucket", "left_semi").select("bucket", F.col("node").alias("id"), "n"), "shared")
-    held = nodes.groupBy("node").agg(F.min("t").alias("t"))
-    wanted = cut(held.join(shared.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("t").distinct(), "wanted")
-    few = F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
-    sets = texts.join(few, "t", "left_semi").select("text").mapInArrow(set_batches(k), "id struct<k1:long,k2:long>, items array<long>")
+    full = signed.where("n > 0").select(F.struct("k1", "k2").alias("node"), "id", "t", "n", "bands")
+    per = full.groupBy("node").agg(F.min("t").alias("t"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(per, "nodes")
+    members = nodes.select("node", "t", "n", F.explode(F.array_distinct("bands")).alias("bucket"))
+    crowd = cut(nodes.select(F.explode(F.array_distinct("bands")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowd")
+    shared = cut(members.join(few(crowd), "bucket").select("bucket", F.col("node").alias("id"), "n", "crowd", "t"), "shared")
+    wanted = cut(shared.select("t").distinct(), "wanted")
+    sets = texts.join(few(wanted), "t", "left_semi").select("text").mapInArrow(set_batches(k), "id struct<k1:long,k2:long>, items array<long>")
     sets = cut(sets.dropDuplicates(["id"]), "sets")
-    labels = cut(linked_components(shared, sets, percent), "linked")
-    scratch.release(but=(signed, labels))
+    labels = cut(linked_components(shared.drop("t"), sets, percent), "linked")
+    scratch.release(but=(signed, nodes, labels))
     # the texts of one id are one document
-    ids = nodes.where("id IS NOT NULL").select("id", "node").distinct()
-    spread = ids.groupBy("id").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("id", "a")
-    spread = cut(ids.join(spread, "id").select("a", F.col("node").alias("b")), "spread")
+    ids = full.where("id IS NOT NULL").select("id", "node")
+    twice = cut(ids.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a"), "twice")
+    spread = cut(ids.join(few(twice), "id").select("a", F.col("node").alias("b")).distinct(), "spread") if not twice.isEmpty() else twice
     if not spread.isEmpty():
         both = spread.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         labels = cut(connected_components(both), "joined")
-    of = signed.where("n > 0").select("id", F.struct("k1", "k2").alias("node")).join(labels.withColumnRenamed("id", "node"), "node", "left")
-    of = of.select("node", "id", F.coalesce("component", "node").alias("component"))
-    least = of.groupBy("component").agg(F.min("id").alias("component_id"))
-    known = of.select("node", "component").distinct().join(least, "component").select("node.k1", "node.k2", "component_id")
+    # the rest is alone in its component
+    of = nodes.select("node", "low").join(few(labels.withColumnRenamed("id", "node")), "node", "left")
+    of = cut(of, "of")
+    least = cut(of.where("component IS NOT NULL").groupBy("component").agg(F.min("low").alias("component_id")), "least")
+    known = of.join(few(least), "component", "left")
+    known = known.select("node.k1", "node.k2", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
     known = cut(known, "known")
     scratch.release(but=(signed, known))
     out = signed.select("id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")

@@ -64,6 +64,23 @@ def test_components_of_long_chains(spark):
     assert connected_components(e.where("false")).count() == 0
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """A short list is settled at once; beyond the bound by rounds, with the same result."""
+    from facetflow.plans import components, lineage
+
+    made, cut = [], lineage.Scratch.cut
+    monkeypatch.setattr(lineage.Scratch, "cut", lambda self, df, name="t": made.append(name) or cut(self, df, name))
+    rnd = random.Random(4)
+    pair = lambda: tuple((f"n{rnd.randrange(40)}", rnd.randrange(-2, 3)) for _ in "ab")
+    e = spark.createDataFrame([pair() for _ in range(120)], "a struct<s:string,k:long>, b struct<s:string,k:long>")
+    got = {r.id: r.component for r in components.connected_components(e).collect()}
+    assert "cc-edges" not in made
+    for bound in (30, 0):
+        monkeypatch.setattr(components, "DRIVER_EDGES", bound)
+        assert {r.id: r.component for r in components.connected_components(e).collect()} == got
+    assert "cc-edges" in made
+
+
 def test_exact_dedup(spark, corpus):
     rows = [(r.id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame(spark, corpus)).collect()]
     by = {}
@@ -166,6 +183,22 @@ def test_links_of_an_unlinked_crowd(spark):
     assert all(got[i] == i for i in range(40)) and {got[100 + i] for i in range(30)} == {100}
 
 
+def test_links_of_a_crowd_within_few_bounds_take_two_rounds(spark, monkeypatch):
+    """Members whose sizes hardly ever allow a link are all tested once the pairs are counted."""
+    from facetflow.plans import lineage
+
+    made, cut = [], lineage.Scratch.cut
+    monkeypatch.setattr(lineage.Scratch, "cut", lambda self, df, name="t": made.append(name) or cut(self, df, name))
+    rnd = random.Random(6)
+    sets = [(i, rnd.sample(range(2000), 10 + 3 * i)) for i in range(130)]
+    sets += [(200 + i, [*x[1:], 5000]) for i, x in sets[40:60]]
+    m = spark.createDataFrame([(1, i, len(x)) for i, x in sets], "bucket long, id long, n int")
+    s = spark.createDataFrame(sets, "id long, items array<long>")
+    got = {r.id: r.component for r in links.linked_components(m, s, 85).collect()}
+    assert got == {i: i - 200 if i >= 200 else i for i, _ in sets}
+    assert made.count("hubs") == 2
+
+
 def test_suffix(spark, corpus):
     docs = list(corpus) + ["".join(random.Random(2).choice("ab") for _ in range(900)), "ab" * 300]
     got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, docs)).collect()}

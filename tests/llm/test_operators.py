@@ -599,6 +599,24 @@ def test_line_dedup_of_odd_rows(spark):
     assert out.columns == docs.columns and sorted((r.removed, r.text) for r in out.collect() if r.text is not None) == [(5, "other"), (6, "same line"), (8, "")]
 
 
+def test_line_dedup_is_native(spark, monkeypatch):
+    """No step of it runs Python on the executors: words, runs, sketches of a large bucket and the comparison."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9)))
+    base = [word() for _ in range(40)]
+    docs = [" ".join([*base[:i], word(), *base[i + 1 :]]) for i in range(20)]
+    docs += ["é日" * 40, "é日" * 41, "short line", "short line.", " ".join(word() for _ in range(40)), "\U0001f600 smile at it", "\U0001f600 smile at it!"]
+    df = frame(spark, docs)
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, refused)
+    want = brute.lines(list(enumerate(docs)))
+    assert {r.id: r.removed for r in line_dedup.line_dedup(df).collect()} == want and sum(map(len, want.values())) == 22
+
+
 def test_line_dedup_across_word_counts(spark):
     """Near lines of 15 and 16 words, and ones that spaces, length or repetition set apart."""
     rnd = random.Random(21)

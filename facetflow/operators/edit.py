@@ -15,7 +15,7 @@ from ..mesh import Mesh
 from ..plans.lineage import cut
 from .refine import _numbered
 from .repair import number_new, remap_faces
-from .topology import link_condition
+from .topology import link_condition, stars
 
 XYZ = ("x", "y", "z")
 
@@ -121,6 +121,23 @@ def _independent(requests: DataFrame, touched: DataFrame, seed: int = 0) -> Data
     return requests.join(won, ["mesh_id", "a", "b"], "left").withColumn("won", F.coalesce(F.col("won") == 1, F.lit(False)))
 
 
+def _apart(requests: DataFrame, ring: DataFrame, seed: int = 0) -> DataFrame:
+    """Requests (mesh_id, a, b) that come first, by random rank, at all neighbours of their ends; ring: ``stars``.
+
+    As ``_independent`` over these neighbours, without a row for each: the least
+    rank goes from the ends to their neighbours and from there back.
+    """
+    rank = F.struct(F.xxhash64("a", "b", F.lit(seed)).alias("h"), "a", "b")
+    least = requests.select("mesh_id", F.explode(F.array("a", "b")).alias("vid"), rank.alias("rank")).groupBy("mesh_id", "vid").agg(F.min("rank").alias("rank"))
+    for _ in range(2):
+        told = least.join(ring, ["mesh_id", "vid"]).select("mesh_id", F.explode(F.array_append("ns", F.col("vid"))).alias("vid"), "rank")
+        least = told.groupBy("mesh_id", "vid").agg(F.min("rank").alias("rank"))
+    least = cut(least.select("mesh_id", "vid", F.col("rank.a").alias("ra"), F.col("rank.b").alias("rb")), "least")
+    for end in ("a", "b"):
+        requests = requests.join(least.withColumnRenamed("vid", end), ["mesh_id", end]).where("a = ra AND b = rb").select("mesh_id", "a", "b")
+    return requests
+
+
 def flip_edges(mesh: Mesh, edges: DataFrame, seed: int = 0) -> tuple[Mesh, DataFrame]:
     """Replace ab by cd.  Status: ok · invalid_edge · border · degenerate · duplicate_edge · conflict."""
     s = _edge_status(mesh, edges)
@@ -148,16 +165,14 @@ def collapse_edges(mesh: Mesh, edges: DataFrame, targets: DataFrame | None = Non
     neighbourhoods share a vertex conflict.
     """
     s = _edge_status(mesh, edges)
-    link = link_condition(mesh, edges).withColumnRenamed("ok", "link")
+    ring = cut(stars(mesh), "stars")
+    link = link_condition(mesh, s.where("k = 2").select("mesh_id", "a", "b"), ring).withColumnRenamed("ok", "link")
     s = s.join(link, ["mesh_id", "a", "b"], "left")
     why = F.when(F.col("k").isNull(), "invalid_edge").when(F.col("k") != 2, "border").when(~F.coalesce("link", F.lit(False)), "link_condition")
-    s = cut(s.withColumn("why", why), "collapse")
+    s = cut(s.select("mesh_id", "a", "b", why.alias("why")), "collapse")
     ok = s.where("why IS NULL").select("mesh_id", "a", "b")
-    adj = mesh.adjacency
-    reach = ok.select("mesh_id", "a", "b", F.explode(F.array("a", "b")).alias("src"))
-    near = reach.join(adj, ["mesh_id", "src"]).select("mesh_id", "a", "b", F.col("dst").alias("what")).unionByName(reach.select("mesh_id", "a", "b", F.col("src").alias("what"))).distinct()
-    chosen = cut(_independent(ok, near, seed), "collapse-chosen")
-    go = chosen.where("won").select("mesh_id", "a", "b").join(mesh.points("a", "p"), ["mesh_id", "a"]).join(mesh.points("b", "q"), ["mesh_id", "b"])
+    won = cut(_apart(ok, ring, seed), "collapse-chosen")
+    go = won.join(mesh.points("a", "p"), ["mesh_id", "a"]).join(mesh.points("b", "q"), ["mesh_id", "b"])
     at = go.select("mesh_id", "a", "b", *(((F.col("p" + k) + F.col("q" + k)) / 2).alias(k) for k in XYZ))
     if targets is not None:
         t = targets.select("mesh_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(F.col(k).alias("t" + k) for k in XYZ))
@@ -166,7 +181,7 @@ def collapse_edges(mesh: Mesh, edges: DataFrame, targets: DataFrame | None = Non
     moved = set_positions(mesh, at.select("mesh_id", F.col("a").alias("vid"), *XYZ))
     vertices = moved.vertices.join(at.select("mesh_id", F.col("b").alias("vid")), ["mesh_id", "vid"], "left_anti").select(*mesh.vertices.columns)
     faces = remap_faces(mesh.faces, at.select("mesh_id", F.col("b").alias("vid"), F.col("a").alias("to")))
-    status = s.join(chosen, ["mesh_id", "a", "b"], "left").select("mesh_id", "a", "b", F.coalesce("why", F.when(F.col("won"), "ok").otherwise("conflict")).alias("status"))
+    status = s.join(won.withColumn("won", F.lit(True)), ["mesh_id", "a", "b"], "left").select("mesh_id", "a", "b", F.coalesce("why", F.when(F.col("won"), "ok").otherwise("conflict")).alias("status"))
     return Mesh(vertices, faces), status
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetflow.mesh import Mesh
-from facetflow.operators import repair, topology
+from facetflow.operators import edit, repair, topology
 from facetflow.plans import components
 from facetflow.sources.derive import terrain
 
@@ -98,3 +98,13 @@ def test_orientation_over_ranges(land, monkeypatch):
     assert repair.is_orientation_consistent(fixed).first().consistent
     assert fixed.faces.exceptAll(land.faces).isEmpty() and fixed.faces.count() == land.faces.count()
     assert repair.is_orientable(land).first().orientable
+
+
+def test_collapses_are_those_of_all_touched_vertices(land):
+    e = land.edges.select("mesh_id", "a", "b").where("a % 3 > 0")
+    reach = e.select("mesh_id", "a", "b", F.explode(F.array("a", "b")).alias("src"))
+    near = reach.join(land.adjacency, ["mesh_id", "src"]).select("mesh_id", "a", "b", F.col("dst").alias("what")).unionByName(reach.select("mesh_id", "a", "b", F.col("src").alias("what"))).distinct()
+    want = {(r.a, r.b) for r in edit._independent(e, near).where("won").collect()}
+    assert {(r.a, r.b) for r in edit._apart(e, topology.stars(land)).collect()} == want and want
+    _, status = edit.collapse_edges(land, land.edges)
+    assert status.count() == land.edges.count() and status.where("status = 'ok'").count() > 0
